@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,3 +65,20 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHU
                 start, size = i + 1, 0
         if start < len(texts):
             yield batch.slice(start), texts[start:]
+
+
+def byte_chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Like text_chunks, with the texts as one array of bytes and the places where each begins and the last ends."""
+    for batch in batches:
+        own = batch.column(column).cast(pa.large_binary())
+        _, places, data = own.buffers()
+        if not len(own):
+            continue
+        places = np.frombuffer(places, np.int64)[own.offset : own.offset + len(own) + 1]
+        data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
+        start = 0
+        while start < len(own):
+            stop = max(start + 1, int(np.searchsorted(places, places[start] + limit, side="right")) - 1)
+            stop = min(stop, len(own))
+            yield batch.slice(start, stop - start), data, places[start : stop + 1]
+            start = stop

@@ -8,7 +8,7 @@
   features of the word and the pair of classes one further back. They start from the counted priors, so that a model without
   training is the unigram model.
 
-Training is distributed: every partition makes sparse AdaGrad updates over its own texts, and the weights meet, weighted by
+Training is distributed: every partition makes sparse AdaGrad updates over all its texts, and the weights meet, weighted by
 the updates of each row, in two shuffled steps. Word counts cover all training texts and are shuffled by word. What is sent
 to every executor is bounded: the weights, and the words with a frequency of at least ``1 / MAX_COMMON`` (at most MAX_COMMON).
 The counts of rarer words reach the texts by a join on the word's 64-bit hash; by definition none of them is hot.
@@ -19,6 +19,7 @@ table gives an empty result; without a training text every count is zero. Extra
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,41 +31,68 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hedgerow.llm.common import crc32_of_id, cut, text_chunks, text_or_empty
+from hedgerow.llm.common import byte_chunks, crc32_of_id, cut, text_or_empty
 
-CLASSES = 64
+CLASSES = 32
 SLOTS = 32
 WORD_ROWS = 1 << 14
 MAX_COMMON = 1 << 20
-BATCH = 4096
-RATE = 0.35
+BATCH = 8192
+RATE = 0.12
+BOUND = 12.0
 BLOCK = 1024
 FLOOR = 0.5
 
 _ROWS1 = 2 * WORD_ROWS + 2 * CLASSES * CLASSES
-_W2_BUCKETS = 256
-_ROWS2 = CLASSES * (_W2_BUCKETS + CLASSES)
-_END = np.uint64(xxhash.xxh64_intdigest(b""))
-
-
-def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and class of every token of the texts, the end of each included, and the tokens of each text."""
-    words: list[bytes] = []
-    lengths = np.empty(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        own = t.lower().split()
-        own.append(b"")
-        words += own
-        lengths[i] = len(own)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes) + 2
-    letters = np.frombuffer(b"\0\0\0" + b"".join(words), np.uint8)
-    code = np.zeros(len(words), np.uint32)
-    for back in range(3):
-        code = code * np.uint32(257) + np.where(sizes > back, letters[ends - back], 0)
-    classes = 1 + (code * np.uint32(2654435761) >> np.uint32(16)) % np.uint32(CLASSES - 1)
-    return hashes, np.where(sizes == 0, 0, classes).astype(np.int32), lengths
+_W1_BUCKETS = 512
+_ROWS2 = CLASSES * (_W1_BUCKETS + CLASSES)
+
+_IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BYTE_VALUE = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 63, 256, np.uint64)[_LOWER]
+_BASE = 0x9E3779B97F4A7C15
+_power: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The first powers of the base and of its inverse, modulo 2**64; kept, and grown in doubling."""
+    if not _power or len(_power[0]) < n:
+        size = 1 << max(20, (n - 1).bit_length())
+        _power[:] = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, np.uint64(b))]) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _power
+
+
+def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and class of every token of the texts, the end of each included, and the tokens of each text.
+
+    ``data`` holds the UTF-8 bytes of all texts, ``offsets`` where each begins and the last ends. A word's hash is the mixed
+    polynomial of its lower-case bytes modulo 2**64; the end's hash is 0.
+    """
+    data = data[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    inside = ~_IS_SPACE[data]
+    cuts = np.zeros(len(data) + 1, bool)
+    cuts[offsets] = True
+    first = inside.copy()
+    first[1:] &= ~inside[:-1] | cuts[1:-1]
+    last = inside.copy()
+    last[:-1] &= ~inside[1:] | cuts[1:-1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    up, down = _powers(len(data) + 1)
+    summed = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE_VALUE[data] * up[: len(data)], out=summed[1:])
+    own = _mixed((summed[ends] - summed[starts]) * down[starts], 5) | np.uint64(1)
+    sizes = ends - starts
+    code = np.zeros(len(own), np.uint32)
+    for back in range(1, 4):
+        code = code * np.uint32(257) + np.where(sizes >= back, _LOWER[data[ends - np.minimum(back, sizes)]], np.uint8(0))
+    kind = 1 + (code * np.uint32(2654435761) >> np.uint32(16)) % np.uint32(CLASSES - 1)
+    words = np.diff(np.searchsorted(starts, offsets))
+    at = np.arange(len(own)) + np.repeat(np.arange(len(words)), words)
+    hashes, classes = np.zeros(len(own) + len(words), np.uint64), np.zeros(len(own) + len(words), np.int32)
+    hashes[at], classes[at] = own, kind
+    return hashes, classes, words + 1
 
 
 def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
@@ -81,19 +109,20 @@ def _shifted(x: np.ndarray, place: np.ndarray, by: int) -> np.ndarray:
 
 
 def features_of(hashes: np.ndarray, classes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the class model (tokens x 4) and of the slot model (tokens x 2)."""
+    """Rows of the class model (4 x tokens) and of the slot model (2 x tokens)."""
     starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
     place = np.arange(len(hashes)) - starts
-    w1, w2 = _shifted(hashes, place, 1), _shifted(hashes, place, 2)
+    short = (_mixed(hashes, 1) >> np.uint64(40)).astype(np.int32)
+    w1, w2 = _shifted(short, place, 1), _shifted(short, place, 2)
     c1, c2, c3 = (_shifted(classes, place, k) for k in (1, 2, 3))
     f1 = np.empty((4, len(hashes)), np.int32)
-    f1[0] = _mixed(w1, 1) % np.uint64(WORD_ROWS)
-    f1[1] = WORD_ROWS + (_mixed(w2, 2) % np.uint64(WORD_ROWS)).astype(np.int32)
+    f1[0] = w1 & (WORD_ROWS - 1)
+    f1[1] = WORD_ROWS + (w2 & (WORD_ROWS - 1))
     f1[2] = 2 * WORD_ROWS + c1 * CLASSES + c2
     f1[3] = 2 * WORD_ROWS + CLASSES * CLASSES + c2 * CLASSES + c3
     f2 = np.empty((2, len(hashes)), np.int32)
-    f2[0] = classes * _W2_BUCKETS + (_mixed(w1, 3) % np.uint64(_W2_BUCKETS)).astype(np.int32)
-    f2[1] = CLASSES * _W2_BUCKETS + classes * CLASSES + c2
+    f2[0] = classes * _W1_BUCKETS + (w1 & (_W1_BUCKETS - 1))
+    f2[1] = CLASSES * _W1_BUCKETS + classes * CLASSES + c2
     return f1, f2
 
 
@@ -110,12 +139,24 @@ class Lexicon:
     n: int
     v: int
 
+    def __post_init__(self):
+        """Where the hashes with the same first bits begin, for look_up."""
+        self.bits = max(1, (4 * len(self.hashes)).bit_length())
+        own = (self.hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        self.begin = np.searchsorted(own, np.arange(1 << self.bits)).astype(np.int32)
+        self.longest = int(np.bincount(own).max()) if len(own) else 0
+        self.padded = np.r_[self.hashes, np.uint64(0xFFFFFFFFFFFFFFFF)]
+
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place in the table, and whether the word is there."""
-        if not len(self.hashes):
-            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return at, self.hashes[at] == hashes
+        at = self.begin[(hashes >> np.uint64(64 - self.bits)).astype(np.int64)]
+        for _ in range(self.longest):
+            at += self.padded[at] < hashes
+        there = self.padded[at] == hashes
+        return np.where(there, at, 0), there & (at < len(self.hashes))
+
+    def slot_of(self, at: np.ndarray, there: np.ndarray) -> np.ndarray:
+        return np.where(there, self.slots[at], SLOTS - 1) if len(self.slots) else np.full(len(at), SLOTS - 1, np.int8)
 
 
 @dataclass
@@ -128,41 +169,56 @@ class Weights:
         return Weights(np.zeros((_ROWS1, CLASSES), np.float32), np.zeros((_ROWS2, SLOTS), np.float32))
 
 
-def log_softmax(table: np.ndarray, rows: np.ndarray, prior: np.ndarray) -> np.ndarray:
-    """Natural-log probabilities, tokens x outcomes. ``prior`` is one row, or one for each token."""
-    z = table[rows[0]]
+def potentials(table: np.ndarray, rows: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Sums of weights and log priors, tokens x outcomes. ``prior`` is one row, or one for each token."""
+    z = np.take(table, rows[0], axis=0)
     for r in rows[1:]:
-        z += table[r]
+        z += np.take(table, r, axis=0)
     z += prior
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
     return z
 
 
+def log_probability(table: np.ndarray, rows: np.ndarray, prior: np.ndarray, outcome: np.ndarray) -> np.ndarray:
+    """Natural-log probability of each token's outcome. The weights are bounded, so nothing overflows."""
+    z = potentials(table, rows, prior)
+    own = z[np.arange(len(outcome)), outcome]
+    np.exp(z, out=z)
+    return own - np.log(z @ np.ones(z.shape[1], np.float32))
+
+
 class Trainer:
-    """AdaGrad with one rate for each row."""
+    """Sparse AdaGrad: a token raises the weights of its outcome and lowers those of an outcome drawn from the model.
+
+    The expected step is the gradient of the log-likelihood, and it touches two weights for each feature, not a whole row.
+    """
 
     def __init__(self, shape: tuple[int, int]):
-        self.table, self.seen, self.visits = np.zeros(shape, np.float32), np.zeros(shape[0], np.float32), np.zeros(shape[0], np.float32)
+        self.table, self.visits = np.zeros(shape, np.float32), np.zeros(shape[0], np.float32)
+        self.seen = np.full(shape[0] * shape[1], 1e-3, np.float32)
+        self.random = np.random.Generator(np.random.PCG64(3))
 
     def step(self, rows: np.ndarray, prior: np.ndarray, outcome: np.ndarray) -> None:
-        g = np.exp(log_softmax(self.table, rows, prior))
-        n = len(outcome)
-        g[np.arange(n), outcome] -= 1
-        flat = rows.ravel()
-        order = np.argsort(flat, kind="stable")
-        at = flat[order]
-        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        own = at[first]
-        total = np.add.reduceat(g[order % n], first, axis=0)
-        self.seen[own] += (total * total).sum(axis=1)
-        self.visits[own] += np.diff(np.r_[first, len(at)])
-        self.table[own] -= (RATE / np.sqrt(self.seen[own] + 1e-6))[:, None] * total
+        z = potentials(self.table, rows, prior)
+        np.exp(z, out=z)
+        np.cumsum(z, axis=1, out=z)
+        drawn = (z < (self.random.random(len(outcome), np.float32) * z[:, -1])[:, None]) @ np.ones(z.shape[1], np.float32)
+        drawn = np.minimum(drawn, z.shape[1] - 1).astype(np.int64)
+        wide = rows.astype(np.int64) * z.shape[1]
+        moved = drawn != outcome
+        up, down = (wide + outcome)[:, moved].ravel(), (wide + drawn)[:, moved].ravel()
+        np.add.at(self.seen, up, np.float32(1))
+        np.add.at(self.seen, down, np.float32(1))
+        flat = self.table.reshape(-1)
+        np.add.at(flat, up, RATE / np.sqrt(self.seen[up]))
+        np.add.at(flat, down, -RATE / np.sqrt(self.seen[down]))
+
+    def visited(self, rows: np.ndarray) -> None:
+        self.visits += np.bincount(rows.ravel(), minlength=len(self.visits))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, texts in text_chunks(batches, "text", 4 << 20):
-        hashes, classes, _ = tokens_of(texts)
+    for _, data, offsets in byte_chunks(batches, "text", 4 << 20):
+        hashes, classes, _ = tokens_of(data, offsets)
         found, at, n = np.unique(hashes, return_index=True, return_counts=True)
         yield pa.record_batch({"word": found.view(np.int64), "class": classes[at], "n": n})
 
@@ -210,11 +266,12 @@ def train(texts: DataFrame, lexicon) -> Weights:
     def own_updates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = lexicon.value
         models = Trainer((_ROWS1, CLASSES)), Trainer((_ROWS2, SLOTS))
-        for _, chunk in text_chunks(batches, "text"):
-            hashes, classes, lengths = tokens_of(chunk)
+        for _, data, offsets in byte_chunks(batches, "text"):
+            hashes, classes, lengths = tokens_of(data, offsets)
             f1, f2 = features_of(hashes, classes, lengths)
-            at, there = lex.look_up(hashes)
-            slots = np.where(there, lex.slots[at], SLOTS - 1) if len(lex.slots) else np.full(len(at), SLOTS - 1)
+            slots = lex.slot_of(*lex.look_up(hashes))
+            models[0].visited(f1)
+            models[1].visited(f2)
             for s in _parts(len(hashes)):
                 models[0].step(f1[:, s], lex.prior1, classes[s])
                 models[1].step(f2[:, s], lex.prior2[classes[s]], slots[s])
@@ -224,7 +281,7 @@ def train(texts: DataFrame, lexicon) -> Weights:
         for kind, m in enumerate(models):
             for b in range(0, len(m.table), BLOCK):
                 blocks.append(kind << 20 | b // BLOCK)
-                weights.append(m.table[b : b + BLOCK].astype(np.float16).tobytes())
+                weights.append(m.table[b : b + BLOCK].clip(-BOUND, BOUND).astype(np.float16).tobytes())
                 visits.append(m.visits[b : b + BLOCK].tobytes())
         who = TaskContext.get().partitionId()
         yield pa.record_batch({"block": blocks, "who": [who % 64] * len(blocks), "weights": weights, "visits": visits})
@@ -250,19 +307,17 @@ def train(texts: DataFrame, lexicon) -> Weights:
     return out
 
 
-def _scored(texts: list[bytes], lex: Lexicon, weights: Weights) -> tuple[np.ndarray, ...]:
+def _scored(data: np.ndarray, offsets: np.ndarray, lex: Lexicon, weights: Weights) -> tuple[np.ndarray, ...]:
     """For each text: tokens, known common tokens, base and model sums (log10) without the rarer words' counts, and those words."""
-    hashes, classes, lengths = tokens_of(texts)
+    hashes, classes, lengths = tokens_of(data, offsets)
     f1, f2 = features_of(hashes, classes, lengths)
     at, there = lex.look_up(hashes)
-    counts = np.where(there, lex.counts[at], 0) if len(lex.counts) else np.zeros(len(at), np.int64)
-    slots = np.where(there, lex.slots[at], SLOTS - 1) if len(lex.slots) else np.full(len(at), SLOTS - 1)
+    slots = lex.slot_of(at, there)
+    own = np.where(there, np.log(lex.counts[at] + FLOOR), 0.0) if len(lex.counts) else np.zeros(len(at))
     model = np.empty(len(hashes))
     for s in _parts(len(hashes)):
-        i = np.arange(s.stop - s.start)
-        model[s] = log_softmax(weights.class_rows, f1[:, s], lex.prior1)[i, classes[s]]
-        model[s] += log_softmax(weights.slot_rows, f2[:, s], lex.prior2[classes[s]])[i, slots[s]]
-    own = np.where(there, np.log(counts + FLOOR), 0.0)
+        model[s] = log_probability(weights.class_rows, f1[:, s], lex.prior1, classes[s])
+        model[s] += log_probability(weights.slot_rows, f2[:, s], lex.prior2[classes[s]], slots[s])
     base = own - np.log(lex.n + FLOOR * (lex.v + 1))
     model += np.where(slots == SLOTS - 1, own - lex.rest_log[classes], 0.0)
     starts = np.cumsum(lengths) - lengths
@@ -277,10 +332,10 @@ def score(docs: DataFrame, counts: DataFrame, lexicon, weights) -> DataFrame:
     """
 
     def partly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_chunks(batches, "text"):
-            n, known, base, model, rare, rares = _scored(texts, lexicon.value, weights.value)
+        for part, data, offsets in byte_chunks(batches, "text"):
+            n, known, base, model, rare, rares = _scored(data, offsets, lexicon.value, weights.value)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(rares)].astype(np.int32)), pa.array(rare.view(np.int64)))
-            keys = [xxhash.xxh64_intdigest(t, seed=7) - (1 << 63) for t in texts]
+            keys = [xxhash.xxh64_intdigest(data[i:j], seed=7) - (1 << 63) for i, j in itertools.pairwise(offsets)]
             yield pa.record_batch({"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "key": keys, "n_tokens": n, "known": known, "base": base, "model": model, "rare": lists})
 
     id_type = dict(docs.dtypes)["doc_id"]
