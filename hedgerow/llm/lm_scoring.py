@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hedgerow.llm.common import byte_chunks, crc32_of_id, cut, text_or_empty
+from hedgerow.llm.rolling import IS_SPACE, LOWER, RangeHash, mixed, word_ranges
 
 CLASSES = 32
 SLOTS = 32
@@ -47,21 +48,6 @@ _ROWS1 = 2 * WORD_ROWS + 2 * CLASSES * CLASSES
 _W1_BUCKETS = 512
 _ROWS2 = CLASSES * (_W1_BUCKETS + CLASSES)
 
-_IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_BYTE_VALUE = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 63, 256, np.uint64)[_LOWER]
-_BASE = 0x9E3779B97F4A7C15
-_power: list[np.ndarray] = []
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    """The first powers of the base and of its inverse, modulo 2**64; kept, and grown in doubling."""
-    if not _power or len(_power[0]) < n:
-        size = 1 << max(20, (n - 1).bit_length())
-        _power[:] = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, np.uint64(b))]) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
-    return _power
-
 
 def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash and class of every token of the texts, the end of each included, and the tokens of each text.
@@ -71,35 +57,19 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     """
     data = data[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
-    inside = ~_IS_SPACE[data]
-    cuts = np.zeros(len(data) + 1, bool)
-    cuts[offsets] = True
-    first = inside.copy()
-    first[1:] &= ~inside[:-1] | cuts[1:-1]
-    last = inside.copy()
-    last[:-1] &= ~inside[1:] | cuts[1:-1]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _powers(len(data) + 1)
-    summed = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUE[data] * up[: len(data)], out=summed[1:])
-    own = _mixed((summed[ends] - summed[starts]) * down[starts], 5) | np.uint64(1)
+    starts, ends, words = word_ranges(~IS_SPACE[data], offsets)
+    own = RangeHash(data).of(starts, ends) | np.uint64(1)
     sizes = ends - starts
     code = np.zeros(len(own), np.uint32)
     for back in range(1, 4):
-        code = code * np.uint32(257) + np.where(sizes >= back, _LOWER[data[ends - np.minimum(back, sizes)]], np.uint8(0))
+        code = code * np.uint32(257) + np.where(sizes >= back, LOWER[data[ends - np.minimum(back, sizes)]], np.uint8(0))
     kind = 1 + (code * np.uint32(2654435761) >> np.uint32(16)) % np.uint32(CLASSES - 1)
-    words = np.diff(np.searchsorted(starts, offsets))
     at = np.arange(len(own)) + np.repeat(np.arange(len(words)), words)
     hashes, classes = np.zeros(len(own) + len(words), np.uint64), np.zeros(len(own) + len(words), np.int32)
     hashes[at], classes[at] = own, kind
     return hashes, classes, words + 1
 
 
-def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
-    h = (h ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
-    return h ^ (h >> np.uint64(29))
-
-
 def _shifted(x: np.ndarray, place: np.ndarray, by: int) -> np.ndarray:
     """What stands ``by`` tokens earlier in the same text, or 0."""
     out = np.zeros_like(x)
@@ -112,7 +82,7 @@ def features_of(hashes: np.ndarray, classes: np.ndarray, lengths: np.ndarray) ->
     """Rows of the class model (4 x tokens) and of the slot model (2 x tokens)."""
     starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
     place = np.arange(len(hashes)) - starts
-    short = (_mixed(hashes, 1) >> np.uint64(40)).astype(np.int32)
+    short = (mixed(hashes, 1) >> np.uint64(40)).astype(np.int32)
     w1, w2 = _shifted(short, place, 1), _shifted(short, place, 2)
     c1, c2, c3 = (_shifted(classes, place, k) for k in (1, 2, 3))
     f1 = np.empty((4, len(hashes)), np.int32)
