@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hedgerow.llm import lm_scoring
+from hedgerow.llm import lm_scoring, simhash_dedup, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,16 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_lm_scoring": op1_lm_scoring}
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash_dedup.near_duplicates(documents(spark, sf_dir))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by the model fitted on the labels outside the held fold."""
+    return toxicity.score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op7_simhash_dedup": op7_simhash_dedup, "op10_toxicity": op10_toxicity}
 
 ORACLE: dict[str, str] = {}
