@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hedgerow.llm.common import byte_chunks, crc32_of_id, cut, text_or_empty
-from hedgerow.llm.rolling import IS_SPACE, LOWER, RangeHash, mixed, word_ranges
+from hedgerow.llm.rolling import IS_SPACE, LOWER, HashTable, RangeHash, mixed, word_ranges
 
 CLASSES = 32
 SLOTS = 32
@@ -109,21 +109,8 @@ class Lexicon:
     n: int
     v: int
 
-    def __post_init__(self):
-        """Where the hashes with the same first bits begin, for look_up."""
-        self.bits = max(1, (4 * len(self.hashes)).bit_length())
-        own = (self.hashes >> np.uint64(64 - self.bits)).astype(np.int64)
-        self.begin = np.searchsorted(own, np.arange(1 << self.bits)).astype(np.int32)
-        self.longest = int(np.bincount(own).max()) if len(own) else 0
-        self.padded = np.r_[self.hashes, np.uint64(0xFFFFFFFFFFFFFFFF)]
-
-    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place in the table, and whether the word is there."""
-        at = self.begin[(hashes >> np.uint64(64 - self.bits)).astype(np.int64)]
-        for _ in range(self.longest):
-            at += self.padded[at] < hashes
-        there = self.padded[at] == hashes
-        return np.where(there, at, 0), there & (at < len(self.hashes))
+    def __post_init__(self) -> None:
+        self.look_up = HashTable(self.hashes).look_up
 
     def slot_of(self, at: np.ndarray, there: np.ndarray) -> np.ndarray:
         return np.where(there, self.slots[at], SLOTS - 1) if len(self.slots) else np.full(len(at), SLOTS - 1, np.int8)

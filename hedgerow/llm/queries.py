@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hedgerow.llm import lm_scoring, simhash_dedup, toxicity
+from hedgerow.llm import jump_sharding, lm_scoring, sentencepiece_sampling, simhash_dedup, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,16 +17,27 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(documents(spark, sf_dir))
 
 
+def op5_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two distinct sampled segmentations of every document, with the number and a hash of their pieces."""
+    found = sentencepiece_sampling.encode_sampled(documents(spark, sf_dir))
+    return found.select("doc_id", "rank", F.size("pieces").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"), "log_prob", "perturbed", "inclusion", "round_trip")
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash_dedup.near_duplicates(documents(spark, sf_dir))
 
 
+def op9_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document."""
+    return jump_sharding.shard_documents(documents(spark, sf_dir))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored by the model fitted on the labels outside the held fold."""
     return toxicity.score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op7_simhash_dedup": op7_simhash_dedup, "op10_toxicity": op10_toxicity}
+QUERIES = {q.__name__: q for q in (op1_lm_scoring, op5_sentencepiece_sampling, op7_simhash_dedup, op9_jump_sharding, op10_toxicity)}
 
 ORACLE: dict[str, str] = {}

@@ -27,12 +27,13 @@ def _powers(n: int) -> list[np.ndarray]:
 
 
 class RangeHash:
-    """Polynomial hashes modulo 2**64 of ranges of ``data``, with A-Z in lower case."""
+    """Polynomial hashes modulo 2**64 of ranges of bytes, with A-Z in lower case, or of ranges of numbers as they are."""
 
     def __init__(self, data: np.ndarray):
         up, self._down = _powers(len(data) + 1)
+        values = _BYTE_VALUE[data] if data.dtype == np.uint8 else mixed(data.astype(np.uint64) + np.uint64(1), 9)
         self._summed = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE_VALUE[data] * up[: len(data)], out=self._summed[1:])
+        np.cumsum(values * up[: len(data)], out=self._summed[1:])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mixed((self._summed[ends] - self._summed[starts]) * self._down[starts], 5)
@@ -48,3 +49,22 @@ def word_ranges(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     last[:-1] &= ~inside[1:] | cuts[1:-1]
     starts = np.flatnonzero(first)
     return starts, np.flatnonzero(last) + 1, np.diff(np.searchsorted(starts, offsets))
+
+
+class HashTable:
+    """The places of sorted distinct 64-bit hashes, found from where the hashes with the same first bits begin."""
+
+    def __init__(self, hashes: np.ndarray):
+        self._bits = max(1, (4 * len(hashes)).bit_length())
+        first = (hashes >> np.uint64(64 - self._bits)).astype(np.int64)
+        self._begin = np.searchsorted(first, np.arange(1 << self._bits)).astype(np.int32)
+        self._longest = int(np.bincount(first).max()) if len(first) else 0
+        self._padded = np.r_[hashes, np.uint64(0xFFFFFFFFFFFFFFFF)]
+
+    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place in the table (0 if it isn't there), and whether it is there."""
+        at = self._begin[(hashes >> np.uint64(64 - self._bits)).astype(np.int64)]
+        for _ in range(self._longest):
+            at += self._padded[at] < hashes
+        there = (self._padded[at] == hashes) & (at < len(self._padded) - 1)
+        return np.where(there, at, 0), there

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hedgerow.llm.common import text_or_empty
+from hedgerow.llm.rolling import HashTable, RangeHash
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -41,7 +42,7 @@ SPACE = "▁"
 LITERAL = "\ud800"
 K = 2
 ALPHA = 1.0
-GROUP = 256
+GROUP = 48
 CACHE_UNITS = 200_000
 CHUNK_CHARS = 1 << 19
 
@@ -51,13 +52,19 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 def uniform(*parts: np.ndarray | int) -> np.ndarray:
     """Numbers in (0, 1) that depend on the parts alone."""
-    h = np.uint64(0)
+    h = np.zeros(1, np.uint64)
+    scalar = all(np.ndim(p) == 0 for p in parts)
     for p in parts:
         h = (h ^ np.asarray(p, np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)
         h = (h ^ (h >> np.uint64(30))) * _M1
         h = (h ^ (h >> np.uint64(27))) * _M2
         h ^= h >> np.uint64(31)
-    return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+    out = ((h >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+    return out[0] if scalar else out
+
+
+def code_points(s: str) -> np.ndarray:
+    return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 @dataclass
@@ -67,22 +74,27 @@ class Vocabulary:
     pieces: list[str]
     log_weights: np.ndarray
     byte_ids: list[int]
-    prefixes: dict[str, int] = field(init=False)
 
     def __post_init__(self) -> None:
-        """All beginnings of pieces, with the piece's id where it ends there, else -1."""
-        self.prefixes = {}
-        plain = [i for i in range(len(self.pieces)) if np.isfinite(self.log_weights[i]) and i not in set(self.byte_ids)] if len(self.pieces) < 2000 else None
-        bytes_ = set(self.byte_ids)
-        for i in plain if plain is not None else (i for i in range(len(self.pieces)) if np.isfinite(self.log_weights[i]) and i not in bytes_):
+        """All beginnings of pieces by hash, with the piece's id where it ends there, else -1."""
+        prefixes: dict[str, int] = {}
+        bytes_ = {i: b for b, i in enumerate(self.byte_ids)}
+        for i in range(len(self.pieces)):
+            if i in bytes_ or not np.isfinite(self.log_weights[i]):
+                continue
             p = self.pieces[i]
             for n in range(1, len(p)):
-                self.prefixes.setdefault(p[:n], -1)
-            self.prefixes[p] = i
-        raw = [bytes([self.byte_ids.index(i)]) if i in bytes_ else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
+                prefixes.setdefault(p[:n], -1)
+            prefixes[p] = i
+        raw = [bytes([bytes_[i]]) if i in bytes_ else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
         self.sizes = np.array([len(r) for r in raw], np.int64)
         self.places = np.cumsum(self.sizes) - self.sizes
         self.data = np.frombuffer(b"".join(raw), np.uint8)
+        sizes = np.fromiter(map(len, prefixes), np.int64, len(prefixes))
+        ends = np.cumsum(sizes)
+        hashes = RangeHash(code_points("".join(prefixes))).of(ends - sizes, ends)
+        order = np.argsort(hashes)
+        self.table, self.piece_at = HashTable(hashes[order]), np.fromiter(prefixes.values(), np.int64, len(prefixes))[order]
 
     @staticmethod
     def load(path: str = MODEL, alpha: float = ALPHA) -> Vocabulary:
@@ -99,53 +111,71 @@ class Vocabulary:
 class Lattices:
     """The lattices of the units seen so far. Node numbers are global; a node's edges lie together, a unit's last node has none.
 
-    edge_to, edge_piece (negative: -1 - place in ``spelled``, a character in bytes), edge_cum: cumulative probability in its node.
+    An edge has the node it leads to, its pieces (edge_atoms and edge_size: where they begin in ``atoms`` and how many they
+    are, several only for a character spelled in bytes), and the cumulative probability in its node.
     """
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.spelled: list[list[int]] = []
+        self.atoms = list(range(len(vocabulary.pieces)))
+        self.atom_array = np.array(self.atoms, np.int32)
+        self.spelled: dict[int, tuple[int, int]] = {}
         self.ids: dict[str, int] = {}
         self.root = np.zeros(0, np.int64)
         self.first_edge = np.zeros(1, np.int64)
-        self.edge_to, self.edge_piece, self.edge_cum = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-
-    def _spell(self, c: str) -> int:
-        raw = SPACE.encode() if c == LITERAL else c.encode()
-        self.spelled.append([self.v.byte_ids[b] for b in raw])
-        return -len(self.spelled)
+        self.edge_to, self.edge_atoms, self.edge_size, self.edge_cum = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def _spell(self, point: int) -> tuple[int, int]:
+        if point not in self.spelled:
+            raw = SPACE.encode() if chr(point) == LITERAL else chr(point).encode()
+            self.spelled[point] = len(self.atoms), len(raw)
+            self.atoms += [self.v.byte_ids[b] for b in raw]
+        return self.spelled[point]
+
+    def _edges(self, units: list[str]) -> tuple[np.ndarray, ...]:
+        """Source character, length, atoms, their number and log weight of all edges, by source and then by length."""
+        text = code_points("".join(units))
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        room = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(text))
+        hashed = RangeHash(text)
+        live, found, one = np.arange(len(text)), [], np.zeros(len(text), bool)
+        length = 1
+        while len(live):
+            at, there = self.v.table.look_up(hashed.of(live, live + length))
+            live, at = live[there], at[there]
+            piece = self.v.piece_at[at]
+            whole = piece >= 0
+            found.append((live[whole], np.full(whole.sum(), length), piece[whole]))
+            if length == 1:
+                one[live[whole]] = True
+            length += 1
+            live = live[room[live] >= length]
+        source, lengths, piece = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        bare = np.flatnonzero(~one)
+        points, which = np.unique(text[bare], return_inverse=True)
+        spelled = np.array([self._spell(int(p)) for p in points], np.int64).reshape(-1, 2)[which]
+        self.atom_array = np.array(self.atoms, np.int32)
+        rare = self.v.log_weights[self.v.byte_ids[0]] - 12.0
+        every = (
+            np.r_[source, bare], np.r_[lengths, np.ones(len(bare), np.int64)], np.r_[piece, spelled[:, 0]],
+            np.r_[np.ones(len(piece), np.int64), spelled[:, 1]], np.r_[self.v.log_weights[piece], np.full(len(bare), rare)],
+        )
+        order = np.lexsort((every[1], every[0]))
+        return tuple(x[order] for x in every)
 
     def add(self, units: list[str]) -> None:
         """Build the lattices of new distinct units, all together."""
-        prefixes, log_weights = self.v.prefixes, self.v.log_weights
-        node, n_nodes, roots = len(self.first_edge) - 1, 0, []
-        source, to, piece, away = [], [], [], []
         for u in units:
             self.ids[u] = len(self.ids)
-            roots.append(node + n_nodes)
-            size = len(u)
-            for i in range(size):
-                at = node + n_nodes + i
-                one = False
-                for j in range(i + 1, size + 1):
-                    p = prefixes.get(u[i:j])
-                    if p is None:
-                        break
-                    if p >= 0:
-                        one = one or j == i + 1
-                        source.append(at)
-                        to.append(at + j - i)
-                        piece.append(p)
-                        away.append(size - i)
-                if not one:
-                    source.append(at)
-                    to.append(at + 1)
-                    piece.append(self._spell(u[i]))
-                    away.append(size - i)
-            n_nodes += size + 1
-        source, to, piece, away = (np.array(x, np.int64) for x in (source, to, piece, away))
-        rare = log_weights[self.v.byte_ids[0]] if len(self.v.byte_ids) else -20.0
-        weight = np.where(piece >= 0, log_weights[np.maximum(piece, 0)], rare - 12.0)
+        node = len(self.first_edge) - 1
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        n_nodes = int(sizes.sum()) + len(units)
+        chars, lengths, atoms, atom_counts, weight = self._edges(units)
+        unit = np.repeat(np.arange(len(units)), sizes)[chars]
+        source = node + chars + unit  # each unit before has one more node than characters
+        to = source + lengths
+        away = np.cumsum(sizes)[unit] - chars
+        roots = node + np.cumsum(sizes + 1) - sizes - 1
         after = np.zeros(n_nodes)
         order = np.argsort(away, kind="stable")
         levels = np.searchsorted(away[order], np.arange(1, (away.max() if len(away) else 0) + 2))
@@ -162,9 +192,10 @@ class Lattices:
         before = np.r_[0.0, summed][ends - counts]
         cum = summed - before[source - node]
         cum[ends[counts > 0] - 1] = 1.0
-        self.root = np.concatenate([self.root, np.array(roots, np.int64)])
+        self.root = np.concatenate([self.root, roots])
         self.first_edge = np.concatenate([self.first_edge, self.first_edge[-1] + ends])
-        self.edge_to, self.edge_piece, self.edge_cum = (np.concatenate(x) for x in ((self.edge_to, to), (self.edge_piece, piece), (self.edge_cum, cum)))
+        self.edge_to, self.edge_cum = np.concatenate([self.edge_to, to]), np.concatenate([self.edge_cum, cum])
+        self.edge_atoms, self.edge_size = np.concatenate([self.edge_atoms, atoms]), np.concatenate([self.edge_size, atom_counts])
 
     def probability(self, edge: np.ndarray) -> np.ndarray:
         """Of an edge, given its node."""
@@ -239,18 +270,21 @@ class Search:
     def split(self, path: Path, first: int, before: float) -> None:
         """Queue the sets of paths that leave ``path`` at ``first`` or later; ``before`` is the log mass of the steps before it."""
         stop = min(len(path.edges), first + GROUP)
-        steps = np.arange(first, stop)
-        own = path.log_p[first:stop]
-        reach = before + np.r_[0.0, np.cumsum(own)]
-        mass = reach[:-1] + self._others(path, steps)
-        if stop < len(path.edges):
-            later = np.log1p(-np.exp(path.log_p[stop:].sum())) if path.log_p[stop:].sum() < 0 else -np.inf
-            mass, steps = np.r_[mass, reach[-1] + later], np.r_[steps, -1 - stop]
-        values = truncated(mass, path.value, uniform(self.seed, 1 + self.drawn, np.arange(len(mass))))
+        n = stop - first
+        reach = np.empty(n + 1)
+        reach[0] = before
+        np.cumsum(path.log_p[first:stop], out=reach[1:])
+        reach[1:] += before
+        mass, steps = np.empty(n + 1), np.arange(first, stop + 1)
+        mass[:n] = reach[:n] + self._others(path, steps[:n])
+        later = path.log_p[stop:].sum()
+        mass[n] = reach[n] + np.log1p(-np.exp(later)) if later < 0 else -np.inf
+        steps[n] = -1 - stop
+        live = np.flatnonzero(np.isfinite(mass))
+        if len(live):
+            values = truncated(mass[live], path.value, uniform(self.seed, 1 + self.drawn, live))
+            self.queue.append([values, steps[live], path, reach[live], mass[live]])
         self.drawn += 1
-        live = np.isfinite(mass)
-        if live.any():
-            self.queue.append([values[live], steps[live], path, np.r_[reach[:-1], reach[-1:]][: len(mass)][live], mass[live]])
 
     def pop(self) -> tuple[Path, int, float, float] | None:
         """The best set: path, step, log mass of the steps before, value."""
@@ -261,7 +295,7 @@ class Search:
             for i in (0, 1, 3, 4):
                 entry[i] = np.delete(entry[i], k)
             if not len(entry[0]):
-                self.queue.remove(entry)
+                self.queue = [q for q in self.queue if q is not entry]
             if step >= 0:
                 return path, step, reach, value
             # the group of the later steps: one of its sets attains the value, in proportion to their masses; the others stay below
@@ -336,7 +370,7 @@ def sample_chunk(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int)
             turns.append((turn, out))
             unit = int(path.units[t])
             rest = lattices.root[ids[begin[d] + unit + 1 : begin[d] + sizes[d]]]
-            starts.append(np.r_[lattices.edge_to[turn], rest])
+            starts.append(np.concatenate([[lattices.edge_to[turn]], rest]))
             walk_seeds.append((uniform(np.uint64(keys[d]), round_ + 100, np.arange(unit, sizes[d])) * (1 << 53)).astype(np.uint64))
             counts.append(len(starts[-1]))
         walked, m = lattices.walk(np.concatenate(starts), np.concatenate(walk_seeds))
@@ -346,12 +380,12 @@ def sample_chunk(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int)
         for i, (d, (path, t, reach, value)) in enumerate(popped):
             s = slice(stop[i - 1] if i else 0, stop[i])
             turn, out = turns[i]
-            own = np.r_[path.edges[:t], turn, walked[s]]
+            own = np.concatenate([path.edges[:t], [turn], walked[s]])
             turn_p = float(np.log(max(float(lattices.probability(np.array([turn]))[0]), 1e-300)))
             first = np.cumsum(counts)[i] - counts[i]
             unit = int(path.units[t])
-            of = np.r_[path.units[:t], unit, np.repeat(np.arange(unit, unit + counts[i]), m[first : first + counts[i]])]
-            new_path = Path(own, np.r_[path.log_p[:t], turn_p, walked_p[s]], value, of, {t: out})
+            of = np.concatenate([path.units[:t], [unit], np.repeat(np.arange(unit, unit + counts[i]), m[first : first + counts[i]])])
+            new_path = Path(own, np.concatenate([path.log_p[:t], [turn_p], walked_p[s]]), value, of, {t: out})
             searches[d].split(new_path, t, reach)
             found[d].append(Sample(own, float(new_path.log_p.sum()), value))
     return [(f, s.best_left()) for f, s in zip(found, searches, strict=True)]
@@ -359,11 +393,9 @@ def sample_chunk(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int)
 
 def pieces_of(lattices: Lattices, edges: np.ndarray) -> np.ndarray:
     """Piece ids, with spelled characters in their bytes."""
-    own = lattices.edge_piece[edges]
-    if not (own < 0).any():
-        return own.astype(np.int32)
-    spelled = [lattices.spelled[-1 - int(p)] if p < 0 else None for p in own]
-    return np.array([x for p, s in zip(own.tolist(), spelled, strict=True) for x in (s or [p])], np.int32)
+    size = lattices.edge_size[edges]
+    shift = np.repeat(lattices.edge_atoms[edges] - (np.cumsum(size) - size), size)
+    return lattices.atom_array[shift + np.arange(len(shift))]
 
 
 def decode_pieces(v: Vocabulary, pieces: np.ndarray) -> bytes:
