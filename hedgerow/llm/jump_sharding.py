@@ -42,6 +42,7 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
 
 def assign(rows: DataFrame, key_col: str = "doc_id", shards: int = SHARDS) -> DataFrame:
     """Adds shard, grown_shard (with one more shard) and slot to the rows. The names of ``rows`` may not begin with two underscores."""
+    names = [*rows.columns, "shard", "grown_shard", "__task", "__place"]
     keyed = rows.withColumn("__key", F.xxhash64(F.coalesce(F.col(key_col).cast("string"), F.lit(""))))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,7 +58,7 @@ def assign(rows: DataFrame, key_col: str = "doc_id", shards: int = SHARDS) -> Da
             seen += counts
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             more = [pa.array(shard, pa.int32()), pa.array(grown, pa.int32()), pa.array(np.full(len(shard), task), pa.int32()), pa.array(place)]
-            yield pa.RecordBatch.from_arrays([*columns, *more], names=[*rows.columns, "shard", "grown_shard", "__task", "__place"])
+            yield pa.RecordBatch.from_arrays([*columns, *more], names=names)
 
     shape = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), "shard int, grown_shard int, __task int, __place long"])
     placed = cut(keyed.mapInArrow(own, shape), "sharded")  # a task's counts stand once they are written
