@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +48,14 @@ def words_of(c: Column) -> Column:
     return F.filter(F.split(c, SPACE_CLASS + "+"), lambda w: w != "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for each row, however often and wherever the body uses it.
+
+    A column that a lambda uses can be computed again for each element, as the optimizer merges projections.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def crc32_of_id(name: str = "doc_id") -> Column:
     """Unsigned CRC-32 of an id written as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary"))

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hedgerow.llm.common import cut, text_or_empty, words_of
+from hedgerow.llm.common import cut, let, text_or_empty, words_of
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -66,24 +66,20 @@ def _removed(text: Column, chars: str) -> Column:
 def _repeat_words(hashes: Column) -> Column:
     """Words in windows whose hash occurs twice or more; ``hashes`` has a window's hash at each start."""
     placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    n = F.size(hashes)
-
-    def repeated(x: Column, k: Column, all_: Column) -> Column:
-        before = F.when(k > 0, F.get(all_, k - 1)["h"] == x["h"])
-        after = F.when(k < n - 1, F.get(all_, k + 1)["h"] == x["h"])
-        return F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))
-
-    # once sorted, the array is held by a one-element array, so that it is sorted once and not once for each element
-    starts = F.sort_array(
-        F.flatten(
-            F.transform(
-                F.array(placed),
-                lambda all_: F.transform(F.filter(F.transform(all_, lambda x, k: F.struct(repeated(x, k, all_).alias("r"), x["i"].alias("i"))), lambda y: y["r"]), lambda y: y["i"]),
-            )
-        )
-    )
-    union = F.flatten(F.transform(F.array(starts), lambda s: F.transform(s, lambda i, k: F.least(F.lit(WINDOW), F.coalesce(F.get(s, k + 1) - i, F.lit(WINDOW))))))
-    return F.aggregate(union, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def repeated(x: Column, k: Column, every: Column) -> Column:
+        before = F.when(k > 0, F.get(every, k - 1)["h"] == x["h"])
+        return F.coalesce(before, F.lit(False)) | F.coalesce(F.get(every, k + 1)["h"] == x["h"], F.lit(False))
+
+    def starts(every: Column) -> Column:
+        marked = F.transform(every, lambda x, k: F.when(repeated(x, k, every), x["i"]))
+        return F.sort_array(F.filter(marked, lambda i: i.isNotNull()))
+
+    def union(at: Column) -> Column:
+        own = F.transform(at, lambda i, k: F.least(F.lit(WINDOW), F.coalesce(F.get(at, k + 1) - i, F.lit(WINDOW))))
+        return F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    return let(let(placed, starts), union)
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -91,9 +87,12 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = text_or_empty(text_col)
     rows = docs.withColumn("q_text", text).withColumn("q_words", words_of(F.col("q_text")))
     hashed = F.transform(F.col("q_words"), lambda w: F.xxhash64(w))
-    rows = rows.withColumn("q_hashed", hashed)
-    starts = F.when(F.size("q_words") >= WINDOW, F.sequence(F.lit(0), F.size("q_words") - WINDOW)).otherwise(F.array().cast("array<int>"))
-    rows = rows.withColumn("q_windows", F.transform(starts, lambda i: F.xxhash64(F.slice(F.col("q_hashed"), i + 1, WINDOW))))
+
+    def windows(own: Column) -> Column:
+        starts = F.when(F.size(own) >= WINDOW, F.sequence(F.lit(1), F.size(own) - WINDOW + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(F.slice(own, i, WINDOW)))
+
+    rows = rows.withColumn("q_windows", let(hashed, windows))
     lines = F.filter(F.split(F.col("q_text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     rows = rows.withColumn("q_lines", lines)
     words = F.array_join("q_words", "")
@@ -107,7 +106,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_repeat_words": F.when(F.size(F.array_distinct("q_windows")) == F.size("q_windows"), F.lit(0)).otherwise(_repeat_words(F.col("q_windows"))),
         "n_letters": letters, "n_upper": upper, "n_stop": stop, "n_exclaim": _removed(F.col("q_text"), "!"),
     }
-    return rows.withColumns({f"q_{k}": v.cast("long") for k, v in counts.items()}).drop("q_text", "q_words", "q_hashed", "q_windows", "q_lines", "q_joined")
+    return rows.withColumns({f"q_{k}": v.cast("long") for k, v in counts.items()}).drop("q_text", "q_words", "q_windows", "q_lines", "q_joined")
 
 
 def _on_counts(condition: str) -> Column:
