@@ -4,7 +4,7 @@ Everything is DataFrame expressions. A text is reduced to counts in one pass ove
 1 (good), -1 (bad) or 0 (abstains). The votes of a corpus are at most ``3 ** len(RULES)`` patterns, whatever its size, so that
 EM runs on the counted patterns: each round is one aggregation, of which one row of sums comes back. The model is the
 conditionally independent one: a rule has a probability of each vote given a good and given a bad text. EM starts from
-rules that are right more often than not, which tells good from bad.
+rules that are right more often than not, which tells good from bad. Most rules know one defect and abstain without it.
 
 n_repeat_words is exact: windows of eight words are hashed (64 bits each); texts without two equal windows, nearly all, are
 told by the number of distinct hashes; in the others, the starts of repeated windows are sorted and the union of
@@ -29,7 +29,8 @@ MAX_REPEAT_PERCENT = 30
 SYMBOLS = "#*$%&|<>"
 ROUNDS = 12
 PRIOR_GOOD = 0.8
-#: Pseudo-counts that keep each rule's probabilities off 0 and 1, as votes of a rule that is right in three of four cases.
+#: The first guess of each rule's probabilities of the votes -1, 0 and 1; as so many pseudo-counts it keeps them off 0 and 1.
+BAD_FIRST, GOOD_FIRST = (0.4, 0.5, 0.1), (0.02, 0.5, 0.48)
 SMOOTH = 4.0
 
 #: Words that most running prose has, by language: fixed values.
@@ -45,16 +46,17 @@ class Rule:
     good: str
 
 
+NEVER = "false"
 RULES = (
-    Rule("symbols", "n_symbols > 0.10 * n_words", "n_symbols <= 0.02 * n_words"),
-    Rule("repeated_words", "100 * n_repeat_words > 20 * n_words", "100 * n_repeat_words <= 5 * n_words"),
-    Rule("repeated_lines", "n_dup_lines > 0.30 * n_lines", "n_dup_lines <= 0.05 * n_lines"),
+    Rule("symbols", "n_symbols > 0.10 * n_words", NEVER),
+    Rule("repeated_words", "100 * n_repeat_words > 20 * n_words", NEVER),
+    Rule("repeated_lines", "n_dup_lines > 0.30 * n_lines", NEVER),
     Rule("word_length", "word_chars < 2.5 * n_words or word_chars > 12 * n_words", "word_chars between 3.5 * n_words and 9 * n_words"),
-    Rule("capitals", "n_upper > 0.5 * n_letters", "n_upper <= 0.2 * n_letters"),
-    Rule("stop_words", "n_stop < 0.02 * n_words", "n_stop >= 0.08 * n_words"),
-    Rule("letters", "n_letters < 0.6 * word_chars", "n_letters >= 0.85 * word_chars"),
-    Rule("exclamations", "n_exclaim > 0.2 * n_words", "n_exclaim <= 0.05 * n_words"),
-    Rule("length", "n_words < 20", "n_words >= 60"),
+    Rule("capitals", "n_upper > 0.4 * n_letters", NEVER),
+    Rule("stop_words", "n_stop < 0.01 * n_words", "n_stop >= 0.08 * n_words"),
+    Rule("letters", "n_letters < 0.7 * word_chars", "n_letters >= 0.85 * word_chars"),
+    Rule("exclamations", "n_exclaim > 0.1 * n_words", NEVER),
+    Rule("length", "n_words < 20", NEVER),
 )
 
 
@@ -145,7 +147,7 @@ class Estimate:
 def estimate(patterns: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = ROUNDS) -> Estimate:
     """EM over ``patterns`` (v_<rule> for each rule, and n)."""
     votes = [F.col(f"v_{r.name}") for r in rules]
-    now = Estimate(PRIOR_GOOD, [((0.5, 0.3, 0.2), (0.1, 0.3, 0.6))] * len(rules))
+    now = Estimate(PRIOR_GOOD, [(BAD_FIRST, GOOD_FIRST)] * len(rules))
     for _ in range(rounds):
         p = now.posterior(votes)
         sums = [F.sum(p * F.col("n")).alias("good"), F.sum("n").alias("n")]
@@ -160,7 +162,7 @@ def estimate(patterns: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int =
             good = [s[f"g_{r.name}_{k}"] for k in (-1, 0, 1)]
             bad = [s[f"n_{r.name}_{k}"] - g for k, g in zip((-1, 0, 1), good, strict=True)]
             smoothed = []
-            for own, prior in ((bad, (0.5, 0.3, 0.2)), (good, (0.1, 0.3, 0.6))):
+            for own, prior in ((bad, BAD_FIRST), (good, GOOD_FIRST)):
                 total = sum(own) + SMOOTH
                 smoothed.append(tuple((max(x, 0.0) + SMOOTH * q) / total for x, q in zip(own, prior, strict=True)))
             given.append((smoothed[0], smoothed[1]))
