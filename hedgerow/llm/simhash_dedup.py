@@ -246,3 +246,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = names.join(linked, "fp", "left").select("fp", F.coalesce("component", "name").alias("component_id"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return own.join(classes, "fp").select("doc_id", hexed, "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """Of each component the row with the smallest id, as it is; of rows with that id one. Null ids come last."""
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")  # a row's number stands once it is written
+    found = near_duplicates(rows, "__row", text_col, shingle, radius).select(F.col("doc_id").alias("__row"), "component_id")
+    first = F.min(F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col("__row").alias("row")))
+    kept = rows.select(id_col, "__row").join(found, "__row").groupBy("component_id").agg(first.alias("x")).select(F.col("x.row").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(*[f"`{c}`" for c in docs.columns])
