@@ -123,7 +123,8 @@ class Lattices:
         self.ids: dict[str, int] = {}
         self.root = np.zeros(0, np.int64)
         self.first_edge = np.zeros(1, np.int64)
-        self.edge_to, self.edge_atoms, self.edge_size, self.edge_cum = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.edge_from, self.edge_to, self.edge_atoms, self.edge_size = (np.zeros(0, np.int64) for _ in range(4))
+        self.edge_cum = np.zeros(0)
 
     def _spell(self, point: int) -> tuple[int, int]:
         if point not in self.spelled:
@@ -194,7 +195,8 @@ class Lattices:
         cum[ends[counts > 0] - 1] = 1.0
         self.root = np.concatenate([self.root, roots])
         self.first_edge = np.concatenate([self.first_edge, self.first_edge[-1] + ends])
-        self.edge_to, self.edge_cum = np.concatenate([self.edge_to, to]), np.concatenate([self.edge_cum, cum])
+        self.edge_from, self.edge_to = np.concatenate([self.edge_from, source]), np.concatenate([self.edge_to, to])
+        self.edge_cum = np.concatenate([self.edge_cum, cum])
         self.edge_atoms, self.edge_size = np.concatenate([self.edge_atoms, atoms]), np.concatenate([self.edge_size, atom_counts])
 
     def probability(self, edge: np.ndarray) -> np.ndarray:
@@ -258,16 +260,18 @@ class Search:
         edge = path.edges[steps]
         with np.errstate(divide="ignore"):
             left = np.log1p(-np.minimum(self.l.probability(edge), 1.0))
-            node = np.searchsorted(self.l.first_edge, edge, side="right") - 1
+            node = self.l.edge_from[edge]
             left[self.l.first_edge[node + 1] - self.l.first_edge[node] == 1] = -np.inf
             for t, out in path.barred.items():
                 if len(steps) and steps[0] <= t <= steps[-1]:
                     ways = np.arange(self.l.first_edge[node[t - steps[0]]], self.l.first_edge[node[t - steps[0]] + 1])
-                    rest = self.l.probability(ways)[~np.isin(ways, [*out, path.edges[t]])].sum()
+                    own = self.l.probability(ways)
+                    own[np.array([*out, path.edges[t]]) - ways[0]] = 0.0
+                    rest = own.sum()
                     left[t - steps[0]] = np.log(rest) if rest > 0 else -np.inf
         return left
 
-    def split(self, path: Path, first: int, before: float) -> None:
+    def split(self, path: Path, first: int, before: float, u: np.ndarray) -> None:
         """Queue the sets of paths that leave ``path`` at ``first`` or later; ``before`` is the log mass of the steps before it."""
         stop = min(len(path.edges), first + GROUP)
         n = stop - first
@@ -282,9 +286,8 @@ class Search:
         steps[n] = -1 - stop
         live = np.flatnonzero(np.isfinite(mass))
         if len(live):
-            values = truncated(mass[live], path.value, uniform(self.seed, 1 + self.drawn, live))
+            values = truncated(mass[live], path.value, u[live])
             self.queue.append([values, steps[live], path, reach[live], mass[live]])
-        self.drawn += 1
 
     def pop(self) -> tuple[Path, int, float, float] | None:
         """The best set: path, step, log mass of the steps before, value."""
@@ -305,8 +308,8 @@ class Search:
             mass = before + self._others(path, steps)
             live = np.flatnonzero(np.isfinite(mass))
             share = np.exp(mass[live] - mass[live].max())
-            one = live[min(int(np.searchsorted(np.cumsum(share) / share.sum(), uniform(self.seed, 999, self.drawn))), len(live) - 1)]
-            values = truncated(mass, value, uniform(self.seed, 1 + self.drawn, np.arange(len(mass))))
+            one = live[min(int(np.searchsorted(np.cumsum(share) / share.sum(), uniform(self.seed, 5000, self.drawn))), len(live) - 1)]
+            values = truncated(mass, value, uniform(self.seed, 5001 + self.drawn, np.arange(len(mass))))
             self.drawn += 1
             rest = live[live != one]
             if len(rest):
@@ -346,34 +349,38 @@ def sample_chunk(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int)
     of_unit = np.repeat(place, n)
     bounds = np.r_[0, np.cumsum(np.add.reduceat(np.r_[n, 0], begin) * (sizes > 0) if len(n) else np.zeros(len(texts), np.int64))]
     searches, found = [], []
+    first_u = uniform(keys[:, None], 1, np.arange(GROUP + 1))
     tops = -np.log(-np.log(uniform(keys, 12345)))
     for d in range(len(texts)):
         s = slice(bounds[d], bounds[d + 1])
         path = Path(edges[s], log_p[s], float(tops[d]), of_unit[s])
         search = Search(lattices, int(keys[d]))
-        search.split(path, 0, 0.0)
+        search.split(path, 0, 0.0, first_u[d])
         searches.append(search)
         found.append([Sample(path.edges, float(path.log_p.sum()), path.value)])
     for round_ in range(1, k):
         popped = [(d, p) for d, s in enumerate(searches) if (p := s.pop()) is not None]
         if not popped:
             break
-        turns, starts, walk_seeds, counts = [], [], [], []
-        for d, (path, t, _, _) in popped:
+        own_keys = keys[[d for d, _ in popped]]
+        turn_u, split_u = uniform(own_keys, 2000 + round_), uniform(own_keys[:, None], 3000 + round_, np.arange(GROUP + 1))
+        turns, starts = [], []
+        for i, (d, (path, t, _, _)) in enumerate(popped):
             edge = int(path.edges[t])
-            node = int(np.searchsorted(lattices.first_edge, edge, side="right")) - 1
+            node = int(lattices.edge_from[edge])
             ways = np.arange(lattices.first_edge[node], lattices.first_edge[node + 1])
             out = [*path.barred.get(t, []), edge]
-            p = np.where(np.isin(ways, out), 0.0, lattices.probability(ways))
+            p = lattices.probability(ways)
+            p[np.array(out) - ways[0]] = 0.0
             c = np.cumsum(p)
-            turn = int(ways[min(int(np.searchsorted(c, float(uniform(int(keys[d]), round_, 77)) * c[-1])), len(ways) - 1)])
+            turn = int(ways[min(int(np.searchsorted(c, turn_u[i] * c[-1])), len(ways) - 1)])
             turns.append((turn, out))
-            unit = int(path.units[t])
-            rest = lattices.root[ids[begin[d] + unit + 1 : begin[d] + sizes[d]]]
-            starts.append(np.concatenate([[lattices.edge_to[turn]], rest]))
-            walk_seeds.append((uniform(np.uint64(keys[d]), round_ + 100, np.arange(unit, sizes[d])) * (1 << 53)).astype(np.uint64))
-            counts.append(len(starts[-1]))
-        walked, m = lattices.walk(np.concatenate(starts), np.concatenate(walk_seeds))
+            starts.append(np.concatenate([[lattices.edge_to[turn]], lattices.root[ids[begin[d] + int(path.units[t]) + 1 : begin[d] + sizes[d]]]]))
+        counts = np.array([len(x) for x in starts])
+        units_at = np.array([int(path.units[t]) for _, (path, t, _, _) in popped])
+        of_start = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - units_at, counts)
+        walk_seeds = (uniform(np.repeat(own_keys, counts), 4000 + round_, of_start) * (1 << 53)).astype(np.uint64)
+        walked, m = lattices.walk(np.concatenate(starts), walk_seeds)
         with np.errstate(divide="ignore"):
             walked_p = np.log(np.maximum(lattices.probability(walked), 1e-300))
         stop = np.cumsum(np.add.reduceat(m, np.cumsum(counts) - counts))
@@ -386,7 +393,7 @@ def sample_chunk(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int)
             unit = int(path.units[t])
             of = np.concatenate([path.units[:t], [unit], np.repeat(np.arange(unit, unit + counts[i]), m[first : first + counts[i]])])
             new_path = Path(own, np.concatenate([path.log_p[:t], [turn_p], walked_p[s]]), value, of, {t: out})
-            searches[d].split(new_path, t, reach)
+            searches[d].split(new_path, t, reach, split_u[i])
             found[d].append(Sample(own, float(new_path.log_p.sum()), value))
     return [(f, s.best_left()) for f, s in zip(found, searches, strict=True)]
 
