@@ -2,10 +2,316 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hedgerow import cases
+from hedgerow.functions import native as N
+from hedgerow.kernel import codec, css, urls
+from hedgerow.kernel.policy import PolicyBuilder
+from hedgerow.operators import html as H
+from hedgerow.plans import relational as R
+from hedgerow.streaming import trends
+
+PAGES = (
+    PolicyBuilder().allow_formatting().allow_blocks().allow_elements("a", "article", "nav").allow_attributes("href").on_elements("a")
+    .allow_standard_protocols().require_nofollow().build()
+)
+#: Allows what is never closed in the pages, so that opening it again adds no discards.
+PLAIN = PolicyBuilder().allow_elements("b", "p").build()
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
-def sanitize_pages(spark, sf_dir):
-    """The pages of a table."""
+def query(sql: str | None = None):
+    """Registers a query by its function's name."""
+
+    def own(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return own
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def quoted(s: str | None) -> str:
+    return "NULL" if s is None else "'" + s.replace("'", "''") + "'"
+
+
+def values(rows: list[tuple], names: str) -> str:
+    return f"select * from (values {', '.join('(' + ', '.join(str(x) if isinstance(x, int) else quoted(x) for x in r) + ')' for r in rows)}) t({names})"
+
+
+#: A page without what is read as text: comments, scripts, styles and titles.
+_BARE = r"regexp_replace(html, '(?s)<!--.*?-->|<(script|style|title)[^>]*>.*?</(script|style|title)>', '', 'g')"
+
+
+@query()
+def sanitize_pages(spark, sf_dir):
+    """Pages under an allow-list policy, with the number of discards."""
+    found = pages(spark, sf_dir).select("page_id", "url", H.process("html", PAGES).alias("r"))
+    return found.select("page_id", "url", F.col("r.html").alias("clean_html"), F.size("r.discards").alias("n_discarded"))
+
+
+@query(rf"""
+with t as (select unnest(regexp_extract_all({_BARE}, '<([a-z][a-z0-9]*)', 1)) as element from pages)
+select element, count(*) as n from (select * from t union all
+  select unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '<(script|style|title)[ >]', 1)) from pages) group by element
+""")
+def tag_histogram(spark, sf_dir):
+    """How often each element is opened."""
+    found = H.events(pages(spark, sf_dir).select("html"), "html", balance=False)
+    return found.where("kind = 'open'").groupBy(F.col("name").alias("element")).agg(F.count("*").alias("n"))
+
+
+@query("""select page_id, href from (select page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) as href from pages)""")
+def links(spark, sf_dir):
+    """The links of every page."""
+    return H.links(pages(spark, sf_dir).select("page_id", "html"), "html").select("page_id", "href")
+
+
+@query("""select split_part(href, '/', 2) as section, count(*) as n, count(distinct page_id) as n_pages
+from (select page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) as href from pages) group by 1""")
+def link_sections(spark, sf_dir):
+    """Links by the first part of their path."""
+    found = H.links(pages(spark, sf_dir).select("page_id", "html"), "html")
+    section = F.coalesce(F.get(F.split("href", "/"), 1), F.lit(""))
+    return found.groupBy(section.alias("section")).agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("n_pages"))
+
+
+@query("""select 'a' as element, 'href' as name, count(*) as n from (select unnest(regexp_extract_all(html, '<a href="', 0)) from pages)""")
+def link_attributes(spark, sf_dir):
+    """Attributes of links."""
+    found = H.attributes(pages(spark, sf_dir).select("html"), "html").where("element = 'a'")
+    return found.groupBy("element", "name").agg(F.count("*").alias("n"))
+
+
+@query("""select 'COMMENT' as kind, count(*) as n from (select unnest(regexp_extract_all(html, '(?s)<!--.*?-->', 0)) from pages)
+union all select 'DIRECTIVE', count(*) from (select unnest(regexp_extract_all(html, '(?i)<!doctype[^>]*>', 0)) from pages)""")
+def comments_and_doctypes(spark, sf_dir):
+    """Tokens that are no content."""
+    found = H.tokens(pages(spark, sf_dir).select("html"), "html").where(F.col("kind").isin("COMMENT", "DIRECTIVE"))
+    return found.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("""select page_id, replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') as title from pages""")
+def page_titles(spark, sf_dir):
+    """Decoded titles."""
+    found = H.events(pages(spark, sf_dir).select("page_id", "html"), "html").where("kind = 'text' and parent = 'title'")
+    return found.select("page_id", F.col("text").alias("title"))
+
+
+_DROPPED = rf"""select page_id, element from (select page_id, unnest(regexp_extract_all({_BARE}, '<([a-z][a-z0-9]*)', 1)) as element from pages
+  union all select page_id, unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '<(script|style|title)[ >]', 1)) from pages) where element not in ('b', 'p')"""
+
+
+def _discards(spark, sf_dir):
+    return H.audit(pages(spark, sf_dir).select("page_id", "html"), "html", PLAIN).where("kind = 'tag'")
+
+
+@query(f"select element, count(*) as n, count(distinct page_id) as n_pages from ({_DROPPED}) group by element")
+def discard_counts(spark, sf_dir):
+    """What a narrow policy discards, by element."""
+    return _discards(spark, sf_dir).groupBy("element").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("n_pages"))
+
+
+@query(f"select element, page_id % 4 as part, count(*) as n from ({_DROPPED}) group by rollup (element, part)")
+def discard_rollup(spark, sf_dir):
+    return _discards(spark, sf_dir).withColumn("part", F.col("page_id") % 4).rollup("element", "part").agg(F.count("*").alias("n"))
+
+
+@query(f"select element, page_id % 4 as part, count(*) as n from ({_DROPPED}) group by cube (element, part)")
+def discard_cube(spark, sf_dir):
+    return _discards(spark, sf_dir).withColumn("part", F.col("page_id") % 4).cube("element", "part").agg(F.count("*").alias("n"))
+
+
+@query(f"select element, count(*) as n from ({_DROPPED}) group by element order by n desc, element limit 5")
+def discard_top(spark, sf_dir):
+    """The five elements with the most discards."""
+    return _discards(spark, sf_dir).groupBy("element").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "element").limit(5)
+
+
+@query(f"select page_id, element, n, rank() over (partition by page_id order by n desc, element) as place from (select page_id, element, count(*) as n from ({_DROPPED}) group by all) qualify place <= 2")
+def discard_rank(spark, sf_dir):
+    """Each page's two most discarded elements."""
+    from pyspark.sql import Window
+
+    counts = _discards(spark, sf_dir).groupBy("page_id", "element").agg(F.count("*").alias("n"))
+    return counts.withColumn("place", F.rank().over(Window.partitionBy("page_id").orderBy(F.desc("n"), "element")).cast("long")).where("place <= 2")
+
+
+@query("select page_id, count(*) as n from (select page_id, unnest(regexp_extract_all(html, '<(a) ', 1)) as name from pages) where name = 'a' group by page_id")
+def allowed_semi(spark, sf_dir):
+    """Events of a policy's elements, by a join with its table."""
+    only = R.policy_elements(spark, PolicyBuilder().allow_elements("a").build())
+    found = H.events(pages(spark, sf_dir).select("page_id", "html"), "html", balance=False).where("kind = 'open'")
+    return R.allowed(found, only).groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+@query(f"select element, count(*) as n from ({_DROPPED}) group by element")
+def dropped_anti(spark, sf_dir):
+    """Events of other elements, by an anti-join."""
+    found = H.events(pages(spark, sf_dir).select("html"), "html", balance=False).where("kind = 'open'")
+    return R.dropped(found, R.policy_elements(spark, PLAIN)).groupBy(F.col("name").alias("element")).agg(F.count("*").alias("n"))
+
+
+@query("""select coalesce(a.e, b.e) as element, a.e is not null as in_left, b.e is not null as in_right
+from (values ('b'), ('p')) a(e) full join (values ('a'), ('p')) b(e) on a.e = b.e""")
+def policy_full_outer(spark, sf_dir):
+    """Two policies' elements side by side."""
+    other = PolicyBuilder().allow_elements("a", "p").build()
+    return R.policy_and(R.policy_elements(spark, PLAIN), R.policy_elements(spark, other))
+
+
+@query("""select tag, name, value from (values (1, 0, 'title', 'x'), (1, 2, 'id', 'z'), (2, 0, 'id', 'a')) t(tag, pos, name, value)""")
+def attribute_dedupe(spark, sf_dir):
+    """The first of a tag's attributes with the same name."""
+    rows = spark.createDataFrame([(1, 0, "title", "x"), (1, 1, "title", "y"), (1, 2, "id", "z"), (2, 0, "id", "a"), (2, 1, "id", "b")], "tag int, pos int, name string, value string")
+    return R.first_of_each(rows, "tag").select("tag", "name", "value")
+
+
+@query("select seq, sum(case kind when 'open' then 1 when 'close' then -1 else 0 end) over (order by seq) as level from (values (0, 'open'), (1, 'open'), (2, 'text'), (3, 'close'), (4, 'close')) t(seq, kind)")
+def depth_profile(spark, sf_dir):
+    rows = spark.createDataFrame([(1, 0, "open"), (1, 1, "open"), (1, 2, "text"), (1, 3, "close"), (1, 4, "close")], "doc int, seq int, kind string")
+    return R.depths(rows, "doc").select("seq", "level")
+
+
+@query("""select page_id, url like 'http://%' as http_only, url like 'http://%' or url like 'https://%' as both_protocols, false as none from pages""")
+def url_protocols(spark, sf_dir):
+    url = F.col("url")
+    return pages(spark, sf_dir).select("page_id", N.url_allowed(url, ["http"]).alias("http_only"), N.url_allowed(url, ["http", "https"]).alias("both_protocols"), N.url_allowed(url, []).alias("none"))
+
+
+@query("select page_id, replace(replace(replace(replace(replace(url, '(', '%28'), ')', '%29'), '{', '%7b'), '}', '%7d'), ' ', '%20') as url from pages")
+def normalized_urls(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", N.normalize_uri(F.col("url")).alias("url"))
+
+
+_ENCODED = "text"
+for _plain, _entity in (("&", "&amp;"), ('"', "&#34;"), ("'", "&#39;"), ("+", "&#43;"), ("<", "&lt;"), ("=", "&#61;"), (">", "&gt;"), ("@", "&#64;"), ("`", "&#96;")):
+    _ENCODED = f"replace({_ENCODED}, {quoted(_plain)}, {quoted(_entity)})"
+
+
+@query(f"select doc_id, md5({_ENCODED}) as encoded_md5 from documents")
+def encoded_documents(spark, sf_dir):
+    """Texts as HTML."""
+    return documents(spark, sf_dir).select("doc_id", F.md5(N.encode_pcdata(F.col("text"))).alias("encoded_md5"))
+
+
+@query("select doc_id, md5(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as lower_md5, md5(trim(text, chr(32) || chr(9) || chr(10) || chr(12) || chr(13))) as trimmed_md5 from documents")
+def ascii_text(spark, sf_dir):
+    text = F.col("text")
+    return documents(spark, sf_dir).select("doc_id", F.md5(N.ascii_lower(text)).alias("lower_md5"), F.md5(N.html_trim(text)).alias("trimmed_md5"))
+
+
+@query(values([(n, v, s) for n, v, s in (("a", 1, "a"), ("a:b", 1, "a:b"), ("a-", 0, "a-"), ("xmp", 1, "pre"), ("1a", 0, "1a"), ("x_y", 1, "x_y"), ("a:b:c", 0, "a:b:c"))], "name, valid, safe"))
+def names(spark, sf_dir):
+    rows = spark.createDataFrame([(n,) for n in ("a", "a:b", "a-", "xmp", "1a", "x_y", "a:b:c")], "name string")
+    return rows.select("name", N.valid_name(F.col("name")).cast("int").alias("valid"), N.safe_name(F.col("name")).alias("safe"))
+
+
+@query(values(cases.FLOATS, "value, number"))
+def float_prefixes(spark, sf_dir):
+    rows = spark.createDataFrame([(v,) for v, _ in cases.FLOATS], "value string")
+    return rows.select("value", N.float_prefix(F.col("value")).alias("number"))
+
+
+@query(values([("640", "640"), ("640.5", "640"), ("x", None), ("64x", None)], "value, number"))
+def integer_values(spark, sf_dir):
+    rows = spark.createDataFrame([("640",), ("640.5",), ("x",), ("64x",)], "value string")
+    return rows.select("value", N.integer_prefix(F.col("value")).alias("number"))
+
+
+@query(values([("Foo nofollow", 1, "foo nofollow noopener noreferrer"), ("bar", 0, "bar nofollow"), (None, 0, "nofollow")], "rel, target, result"))
+def link_rels(spark, sf_dir):
+    rows = spark.createDataFrame([("Foo nofollow", 1), ("bar", 0), (None, 0)], "rel string, target int")
+    return rows.select("rel", "target", N.link_rel(F.col("rel"), F.col("target") == 1, ["nofollow"]).alias("result"))
+
+
+@query("select date_trunc('hour', ts)::timestamp as window_start, 'script' as element, count(*) as n from events where event_type = 'click' group by 1")
+def violation_trend(spark, sf_dir):
+    """Discards by hour: each click of the stream posts a script."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'click'").select("ts", F.concat(F.lit("<b>"), F.col("user_id").cast("string"), F.lit("</b><script>x</script>")).alias("html"))
+    return trends.violation_trends(rows, "ts", "html", PLAIN)
+
+
+def _golden(policy: str):
+    own = [(h, e) for p, h, e in cases.SANITIZE if p == policy]
+
+    def run(spark, sf_dir):
+        rows = spark.createDataFrame([(h,) for h, _ in own], "html string")
+        return rows.select("html", H.sanitize("html", cases.NAMED[policy]).alias("clean"))
+
+    run.__name__ = "sanitize_" + policy.replace("+", "_and_") + "_golden"
+    query(values(own, "html, clean"))(run)
+
+
+for _policy in dict.fromkeys(p for p, _, _ in cases.SANITIZE):
+    _golden(_policy)
+
+
+@query(values(cases.DECODE, "input, as_text, as_attribute"))
+def decode_golden(spark, sf_dir):
+    rows = spark.createDataFrame([(c[0],) for c in cases.DECODE], "input string")
+    return rows.select("input", H.text_function("input", codec.decode).alias("as_text"), H.text_function("input", lambda s: codec.decode(s, True)).alias("as_attribute"))
+
+
+@query(values(cases.CSS, "style, clean"))
+def css_golden(spark, sf_dir):
+    rows = spark.createDataFrame([(c[0],) for c in cases.CSS], "style string")
+    return rows.select("style", H.text_function("style", css.sanitize_css).alias("clean"))
+
+
+@query(values(cases.SRCSET, "srcset, clean"))
+def srcset_golden(spark, sf_dir):
+    rows = spark.createDataFrame([(c[0],) for c in cases.SRCSET], "srcset string")
+    allowed = urls.url_filter(frozenset(["http", "https"]))
+    return rows.select("srcset", H.text_function("srcset", lambda s: urls.srcset(s, allowed)).alias("clean"))
+
+
+@query(values([(0, "tag", "textarea", ""), (1, "attributes", "b", "onclick"), (2, "tag", "script", ""), (3, "tag", "plaintext", "")], "seq, kind, element, attributes"))
+def change_log_golden(spark, sf_dir):
+    """What a small policy reports of a page."""
+    policy = PolicyBuilder().allow_elements("b").build()
+    page = "<textarea>Hello</textarea>,<b onclick=\"doEvil()\">World</b>!<script>doEvil()</script><plaintext>x"
+    found = H.audit(spark.createDataFrame([(page,)], "html string"), "html", policy)
+    return found.select("seq", "kind", "element", F.array_join("attributes", ",").alias("attributes"))
+
+
+_BALANCE = [
+    ([("open", "i"), ("text", "x"), ("open", "b"), ("text", "y"), ("close", "i"), ("text", "z")], "<i>x<b>y</b></i><b>z</b>"),
+    ([("open", "td"), ("text", "x")], "<table><tbody><tr><td>x</td></tr></tbody></table>"),
+    ([("open", "p"), ("open", "ul"), ("open", "li"), ("text", "a")], "<p></p><ul><li>a</li></ul>"),
+    ([("close", "b"), ("text", "a")], "a"),
+    ([("open", "a"), ("text", "1"), ("open", "a"), ("text", "2")], "<a>1</a><a>2</a>"),
+]
+
+
+@query(values([(i, h) for i, (_, h) in enumerate(_BALANCE)], "case_id, html"))
+def balance_golden(spark, sf_dir):
+    rows = [(i, [(k, x if k != "text" else "", [], x if k == "text" else "") for k, x in ev]) for i, (ev, _) in enumerate(_BALANCE)]
+    df = spark.createDataFrame(rows, "case_id int, events array<struct<kind:string,name:string,attrs:array<struct<name:string,value:string>>,text:string>>")
+    return H.rendered(df, "events").select("case_id", "html")
+
+
+_LEX = "<p title=x y>a<!-- b -->c</p>"
+
+
+@query(values([(0, "TAGBEGIN", "<p"), (1, "ATTRNAME", "title"), (2, "ATTRVALUE", "x y"), (3, "TAGEND", ">"), (4, "TEXT", "a"), (5, "COMMENT", "<!-- b -->"), (6, "TEXT", "c"), (7, "TAGBEGIN", "</p"), (8, "TAGEND", ">")], "pos, kind, text"))
+def lexer_golden(spark, sf_dir):
+    return H.tokens(spark.createDataFrame([(_LEX,)], "html string"), "html").select("pos", "kind", "text")
+
+
+@query("select 'b' as name, 'PCDATA' as mode union all select 'script', 'CDATA' union all select 'title', 'RCDATA' union all select 'br', 'VOID' union all select 'plaintext', 'PLAIN_TEXT'")
+def escaping_modes(spark, sf_dir):
+    return R.dim_element(spark).where(F.col("name").isin("b", "script", "title", "br", "plaintext")).select("name", "mode")
