@@ -11,10 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hedgerow.llm import common, decontamination, line_dedup, quality_rules, sentencepiece_sampling, simhash_dedup
+from hedgerow.llm import common, decontamination, line_dedup, quality_rules, sentencepiece_sampling, simhash_similar
 
-#: Words of a shingle of the near-duplicate stage.
+#: The near-duplicate stage: words of a shingle, and the Jaccard similarity from which texts are duplicates.
 SHINGLE = 5
+SIMILARITY = 0.8
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +31,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id."""
-    return simhash_dedup.keep_one(docs, shingle=SHINGLE)
+    return simhash_similar.keep_one(docs, SIMILARITY, SHINGLE)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

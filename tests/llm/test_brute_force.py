@@ -13,7 +13,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from hedgerow.llm import jump_sharding, line_dedup, lm_scoring, pii, quality_rules, simhash_dedup, tool_calls, toxicity
+from hedgerow.llm import jump_sharding, line_dedup, lm_scoring, pii, quality_rules, simhash_dedup, simhash_similar, tool_calls, toxicity
 from hedgerow.llm import queries as Q
 from hedgerow.llm import sentencepiece_sampling as S
 
@@ -185,6 +185,27 @@ def test_crowded_shards(spark):
     assert labels(near) == labels([(place[r["a"]], place[r["b"]]) for r in links])
 
 
+def test_similar_texts(spark, texts):
+    """The groups are those of all pairs with an exact similarity of 0.8 or more."""
+    sets = {i: set(simhash_similar.shingles_of(t.encode(), 5).tolist()) for i, t in texts.items()}
+    group = {i: i for i in texts}
+    for a, b in itertools.combinations(sorted(texts), 2):
+        both = len(sets[a] & sets[b])
+        if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+            low, high = sorted((group[a], group[b]))
+            group = {k: low if v == high else v for k, v in group.items()}
+    rows = spark.createDataFrame(list(texts.items()), "row long, text string")
+    assert {r["row"]: r["component"] for r in simhash_similar.groups(rows, 0.8, 5).collect()} == group
+
+
+def test_large_shards_lose_no_pair():
+    rng = np.random.default_rng(5)
+    centre = rng.integers(0, 1 << 63, simhash_similar.WORDS, np.uint64)
+    points = centre ^ (np.uint64(1) << rng.integers(0, 64, (300, simhash_similar.WORDS), np.uint64))
+    found = {tuple(sorted(p)) for a, b, _ in simhash_similar.near_pairs(points, np.array([0]), 12) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    assert found == {(i, j) for i, j in itertools.combinations(range(300), 2) if sum(int(x).bit_count() for x in points[i] ^ points[j]) <= 12}
+
+
 def test_vantage_tree_finds_all_pairs():
     rng = np.random.default_rng(2)
     points = np.unique(rng.integers(0, 1 << 12, 900, np.uint64))

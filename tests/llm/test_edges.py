@@ -12,6 +12,7 @@ from hedgerow.llm import (
     quality_rules,
     sentencepiece_sampling,
     simhash_dedup,
+    simhash_similar,
     tool_calls,
     toxicity,
 )
@@ -37,12 +38,12 @@ def operators(bench, labels):
     return {
         "lm": lm_scoring.score_documents, "quality": quality_rules.judge, "keep": quality_rules.keep, "pii": pii.detect, "sanitised": pii.sanitised,
         "encode": sentencepiece_sampling.encode_sampled, "decontamination": lambda d: decontamination.judge(d, bench), "remove": lambda d: decontamination.remove(d, bench),
-        "simhash": simhash_dedup.near_duplicates, "keep_one": simhash_dedup.keep_one, "lines": line_dedup.judge, "dropped": line_dedup.drop_boilerplate,
+        "simhash": simhash_dedup.near_duplicates, "keep_one": simhash_dedup.keep_one, "keep_similar": simhash_similar.keep_one, "lines": line_dedup.judge, "dropped": line_dedup.drop_boilerplate,
         "shards": jump_sharding.shard_documents, "toxicity": lambda d: toxicity.score_documents(d, labels),
     }
 
 
-NAMES = ["lm", "quality", "keep", "pii", "sanitised", "encode", "decontamination", "remove", "simhash", "keep_one", "lines", "dropped", "shards", "toxicity"]
+NAMES = ["lm", "quality", "keep", "pii", "sanitised", "encode", "decontamination", "remove", "simhash", "keep_one", "keep_similar", "lines", "dropped", "shards", "toxicity"]
 
 
 @pytest.fixture(scope="module")
@@ -57,7 +58,7 @@ def test_odd_rows(all_operators, docs, name):
     one_for_each = {"lm", "quality", "pii", "sanitised", "decontamination", "simhash", "lines", "dropped", "shards", "toxicity"}
     if name in one_for_each:
         assert len(found) == len(TEXTS) + 4
-    if name == "keep_one":
+    if name in ("keep_one", "keep_similar"):
         assert len({r["text"] for r in found}) == len(found)
     if name == "encode":
         assert all(r["round_trip"] for r in found)
