@@ -16,6 +16,11 @@ _SPECIAL = re.compile("[\"&'+<=>@`\u1fef\ufe60-\U0010ffff]|\\{(?=\\{|\\Z)")
 _JOINER = re.compile("\u200c(?=[\u093a-\u094f\u0985-\u0994\u09be-\u09cb\u09e0-\u09e3\u0c05-\u0c14\u0c3e-\u0c47\u0c49-\u0c4c])")
 
 
+def joins(before: str, after: str) -> bool:
+    """Whether a joiner that ends one text would stand before such a vowel sign in the next."""
+    return before.endswith("\u200c") and _JOINER.match("\u200c" + after[:1]) is not None
+
+
 def strip_banned(s: str) -> str:
     """Without control characters, lone surrogates and noncharacters; halves of a pair are joined first."""
     if _BANNED.search(s) is None:

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterable
 
 from hedgerow.kernel import tables as T
-from hedgerow.kernel.codec import encode_attribute, encode_pcdata, encode_rcdata, strip_banned
+from hedgerow.kernel.codec import encode_attribute, encode_pcdata, encode_rcdata, joins, strip_banned
 from hedgerow.kernel.lex import Event
 
 MAX_NAME = 128
@@ -56,6 +56,8 @@ class Renderer:
             if self._cdata:
                 self._cdata[1].append(e.text)
             else:
+                if self.out and joins(self.out[-1], e.text):
+                    self.out[-1] = self.out[-1][:-1]
                 self.out.append((encode_rcdata if self._rcdata else encode_pcdata)(e.text))
         elif e.kind == "open":
             self._open("pre" if e.name in _AS_PRE else e.name, e.attrs)

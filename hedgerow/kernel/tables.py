@@ -20,8 +20,7 @@ NO_CONTENT = frozenset("area base basefont bgsound br col colgroup command embed
 COMMENTS_ONLY = frozenset("table tbody tfoot thead tr".split())
 RAW_TEXT = frozenset("script style".split())
 SPECIAL_TEXT = frozenset("script style iframe noembed noframes noscript xmp textarea title plaintext".split())
-PLAIN_TEXT_ELEMENTS = frozenset(ELEMENTS) - NO_CONTENT - COMMENTS_ONLY - RAW_TEXT - frozenset("iframe noembed noframes noscript xmp".split())
-PLAIN_TEXT_ELEMENTS |= frozenset(["plaintext", "textarea", "title"])
+PLAIN_TEXT_ELEMENTS = frozenset(ELEMENTS) - NO_CONTENT - COMMENTS_ONLY - RAW_TEXT
 HOLDS_TEXT = frozenset(ELEMENTS) - NO_CONTENT - COMMENTS_ONLY
 
 #: Elements whose content is read as text up to their end tag, and those without content.
