@@ -58,6 +58,22 @@ def test_policies_and():
         assert both.sanitize(html) == other.sanitize(html)
 
 
+def test_and_intersects_values():
+    https = policy.PolicyBuilder().allow_elements("a").allow_protocols("https").allow_attributes("href", "title").on_elements("a").build()
+    inline = policy.FORMATTING.and_(policy.LINKS)
+    html = "<a href='http://foo.com/'>Hello, <b>World</b></a><a title='!' href='https://foo.com/#!'>!</a>"
+    assert https.sanitize(html) == 'Hello, World<a title="!" href="https://foo.com/#!">!</a>'
+    assert inline.sanitize(html) == '<a href="http://foo.com/" rel="nofollow">Hello, <b>World</b></a><a href="https://foo.com/#!" rel="nofollow">!</a>'
+    for both in (https.and_(inline), inline.and_(https)):
+        assert both.sanitize(html) == 'Hello, <b>World</b><a title="!" href="https://foo.com/#!" rel="nofollow">!</a>'
+
+
+@pytest.mark.parametrize(("value", "kept"), [("96", "96"), ("069", "069"), ("64.43", "64"), ("-64", None), ('""', None), (".43", None), ("596thin", None)])
+def test_integer_attributes(value, kept):
+    expected = f' height="{kept}"' if kept else ""
+    assert policy.IMAGES.sanitize(f"<img src=x.png height={value}>") == f'<img src="x.png"{expected} />'
+
+
 @pytest.mark.parametrize("left", [policy.SKIP, policy.SKIP_BY_DEFAULT, policy.DO_NOT_SKIP, policy.DO_NOT_SKIP_BY_DEFAULT])
 def test_skip_and(left):
     assert policy.skip_and(left, policy.SKIP) == policy.SKIP
