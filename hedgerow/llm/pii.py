@@ -3,16 +3,17 @@
 1. Protected entities are found by patterns: e-mail and IP addresses, payment cards (Luhn) and telephone numbers. The patterns
    are possessive and begin only where a run begins or the match before ended, so that they are linear in the text; the
    matches are those of the plain leftmost patterns. Spans come from the lengths of what stands between matches.
-2. The words within CONTEXT characters of an entity are its terms. Over the corpus, a term's pointwise mutual information with
-   the entity is ``log2(n(t, e) * N / (n(t) * n(e)))``, with n(t, e) the distinct contexts that they share (or the texts, if those are fewer), n(e) the entity's, n(t)
-   the texts with the term, N all texts. A term discloses the entity if that reaches the entity's information content
-   ``log2(N / n(e))`` divided by ALPHA, and they share at least MIN_SHARED distinct contexts: copies of a text count once.
-3. Such terms are spans too, of kind ``term``. ``sanitised`` generalises entities to their kind and removes terms to a mark.
+2. The words of a text with an entity are its terms. What is protected is an entity's value and its kind. Over the corpus, a term's pointwise mutual
+   information with a protected e is ``log2(p(e | t) * N / n(e))``, N being all texts, n(e) those with e, n(t) those with the term, n(t, e) those with both, and
+   ``p(e | t) = (n(t, e) + SMOOTHING * n(e) / N) / (n(t) + SMOOTHING)``, so that few texts move it less far from what chance gives. All are counts of
+   distinct texts: copies count once. A term discloses e if that reaches e's information content ``log2(N / n(e))`` divided by ALPHA.
+3. Every occurrence of such a term, in all texts, is a span too, of kind ``term``, unless an entity overlaps it. ``sanitised`` generalises entities to their kind and removes terms to a mark.
 
-Everything is DataFrame expressions. Word counts are shuffled by hash with partial sums; only texts with an entity have contexts,
-and terms meet their texts by the hash of the row's id and text.
+Everything is DataFrame expressions. Word counts are shuffled by hash with partial sums. A term in too many texts to disclose an entity even if all
+of the entity's texts have it is left out before the two are paired. Terms meet their texts by the hash of the text;
+up to MAX_BROADCAST disclosing terms are broadcast, more are joined by a shuffle.
 
-Nulls: a null text is empty; a null id is kept. Rows with the same id and text share their spans. An empty table gives an empty
+Nulls: a null text is empty; a null id is kept. Rows with the same text share their spans. An empty table gives an empty
 result. Extra columns are ignored by ``detect`` and kept by ``sanitised``.
 """
 
@@ -26,9 +27,9 @@ from pyspark.sql import functions as F
 from hedgerow.llm.common import ascii_lower, cut, let, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
-CONTEXT = 120
 ALPHA = 1.25
-MIN_SHARED = 3
+SMOOTHING = 1.0
+MAX_BROADCAST = 1_000_000
 BLOCK = 512
 
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -38,7 +39,7 @@ PATTERNS = {
     "card": r"(?:\G|(?<![0-9]))[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-_TERM = r"\p{L}{4,}+"
+_TERM = r"\p{L}++"
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 
@@ -115,56 +116,58 @@ def entities_of(text: Column) -> Column:
     return F.concat(*map(of, KINDS))
 
 
-def _contexts(text: Column, entities: Column) -> Column:
-    """array<struct<entity, at, words>>: the text on either side of each entity, without words that are cut; at: where it begins."""
-
-    def sides(e: Column) -> Column:
-        entity = F.xxhash64(e["kind"], ascii_lower(e["value"]))
-        first = F.greatest(F.lit(0), e["start"] - CONTEXT)
-        left = F.substring(text, (first + 1).cast("int"), (e["start"] - first).cast("int"))
-        left_cut = F.when(first > 0, F.length(F.regexp_extract(left, r"^\p{L}*", 0))).otherwise(0)
-        right = F.substring(text, (e["end"] + 1).cast("int"), F.lit(CONTEXT))
-        right_kept = F.when(F.length(right) == CONTEXT, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
-        return F.array(
-            F.struct(entity.alias("entity"), (first + left_cut).alias("at"), F.substring(left, (left_cut + 1).cast("int"), F.length(left)).alias("words")),
-            F.struct(entity.alias("entity"), e["end"].alias("at"), right_kept.alias("words")),
-        )
-
-    return F.flatten(F.transform(entities, sides))
-
-
-def _key(id_col: str, text: Column) -> Column:
-    return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("\x00")), text)
+def _key(text: Column) -> Column:
+    return F.xxhash64(text)
 
 
 def _term_hash(w: Column) -> Column:
     return F.xxhash64(F.lower(w))
 
 
+def _in_texts(texts: DataFrame) -> DataFrame:
+    """(key, term): each text's distinct terms."""
+    return texts.select("key", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_TERM), 0), _term_hash))).alias("term"))
+
+
+def disclosing(own: DataFrame, texts: DataFrame) -> DataFrame:
+    """(term) of every disclosing term; ``own`` has the key and entities of all rows, ``texts`` the key and text of each distinct one."""
+    n = float(max(texts.count(), 1))
+    in_corpus = cut(_in_texts(texts).groupBy("term").agg(F.count("*").alias("n_term")), "pii-terms")
+    found = own.where(F.size("entities") > 0).dropDuplicates(["key"])
+    values = F.array_distinct(F.transform("entities", lambda e: F.xxhash64(e["kind"], ascii_lower(e["value"]))))
+    kinds = F.array_distinct(F.transform("entities", lambda e: F.xxhash64(e["kind"])))
+    both = F.array(F.struct(F.lit(False).alias("kind"), values.alias("all")), F.struct(F.lit(True).alias("kind"), kinds.alias("all")))
+    protected = found.select("key", F.explode(both).alias("x")).select("key", "x.kind", F.explode("x.all").alias("entity"))
+    per_entity = protected.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    # p(e | t) has to reach (n(e) / N) ** (1 - 1 / ALPHA), and n(t, e) is at most n(e)
+    least = F.pow(F.col("n_entity") / n, F.lit(1 - 1 / ALPHA))
+    limit = F.col("n_entity") * (1 + SMOOTHING / n) / least - SMOOTHING
+    per_entity = cut(per_entity.where(F.col("n_entity") < n).withColumn("limit", limit * (1 + 1e-9)), "pii-protected")
+    aims = cut(protected.join(per_entity, "entity").groupBy("key", "kind").agg(F.max("limit").alias("most"), F.collect_list(F.struct("entity", "limit")).alias("aims")), "pii-aims")
+    most = aims.agg(F.max("most")).first()[0]
+    candidates = in_corpus.where(F.col("n_term") <= F.lit(most if most is not None else 0.0))
+    terms = _in_texts(texts.join(aims.select("key").distinct(), "key", "left_semi")).join(candidates, "term")
+    aimed = terms.join(aims, "key").where(F.col("n_term") <= F.col("most"))
+    aimed = aimed.select("term", "n_term", F.explode(F.filter("aims", lambda e: F.col("n_term") <= e["limit"])).alias("e"))
+    shared = aimed.groupBy(F.col("e.entity").alias("entity"), "term", "n_term").agg(F.count("*").alias("n_both")).join(per_entity, "entity")
+    information = F.log2(n / F.col("n_entity"))
+    given = (F.col("n_both") + SMOOTHING * F.col("n_entity") / n) / (F.col("n_term") + SMOOTHING)
+    return shared.where(F.log2(given * n / F.col("n_entity")) >= information / ALPHA).select("term").distinct()
+
+
 def found_in(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Every row's (doc_id, key, entities), and (key, terms): the disclosing terms' spans of the rows that have some."""
-    text = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    own = rows.withColumn("key", _key("doc_id", F.col("text"))).withColumn("entities", entities_of(F.col("text")))
-    own = own.withColumn("contexts", F.when(F.size("entities") > 0, _contexts(F.col("text"), F.col("entities"))))
-    own = cut(own.select("doc_id", "key", "entities", "contexts"), "pii-entities")
-    contexts = own.where(F.size("entities") > 0).dropDuplicates(["key"]).select("key", F.explode("contexts").alias("c"))
-    words = contexts.select("key", F.col("c.entity").alias("entity"), F.col("c.at").alias("at"), F.xxhash64("c.words").alias("context"), F.explode(matches_of(F.col("c.words"), _TERM)).alias("w"))
-    words = cut(words.select("key", "entity", "context", _term_hash(F.col("w.value")).alias("term"), (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.end")).alias("end")), "pii-terms")
-    shared = words.groupBy("entity", "term").agg(F.least(F.countDistinct("context"), F.countDistinct("key")).alias("n_both")).where(F.col("n_both") >= MIN_SHARED)
-    shared = cut(shared, "pii-shared")
-    if shared.isEmpty():
+    """Every row's (doc_id, key, entities), and (key, terms): the disclosing terms' spans of the texts that have some."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("key", _key(F.col("text")))
+    own = cut(rows.select("doc_id", "key", entities_of(F.col("text")).alias("entities")), "pii-entities")
+    texts = cut(rows.select("key", "text").dropDuplicates(["key"]), "pii-texts")
+    told = cut(disclosing(own, texts), "pii-disclosing")
+    if told.isEmpty():
         return own, own.select("key", F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("terms")).where(F.lit(False))
-    per_entity = contexts.groupBy(F.col("c.entity").alias("entity")).agg(F.countDistinct(F.xxhash64("c.words")).alias("n_entity"))
-    n_texts = rows.count()
-    in_texts = rows.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_TERM), 0), _term_hash))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    measured = shared.join(per_entity, "entity").join(in_texts, "term")
-    n = F.lit(float(max(n_texts, 1)))
-    information = F.log2(n / F.least(n, F.col("n_entity")))
-    mutual = F.log2(F.col("n_both") * n / (F.greatest("n_term", "n_both") * F.col("n_entity")))
-    disclosing = measured.where((information > 0) & (mutual >= information / ALPHA)).select("entity", "term")
-    spans = words.join(disclosing, ["entity", "term"], "left_semi").select("key", F.struct("start", "end").alias("s")).groupBy("key").agg(F.collect_set("s").alias("terms"))
-    return own, spans
+    if told.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+        told = F.broadcast(told)
+    marked = cut(_in_texts(texts).join(told, "term", "left_semi").groupBy("key").agg(F.collect_list("term").alias("marked")), "pii-marked")
+    places = F.filter(matches_of(F.col("text"), _TERM), lambda w: F.array_contains("marked", _term_hash(w["value"])))
+    return own, texts.join(marked, "key").select("key", F.transform(places, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"))).alias("terms"))
 
 
 def _spans(own: DataFrame, terms: DataFrame) -> DataFrame:
@@ -204,6 +207,6 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
         return F.aggregate(marks, first, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
 
-    joined = docs.withColumn("__key", _key(id_col, text_or_empty(text_col))).join(found, "__key", "left")
+    joined = docs.withColumn("__key", _key(text_or_empty(text_col))).join(found, "__key", "left")
     new = F.when(F.col("__marks").isNull(), text).otherwise(rewritten(F.col("__marks")))
     return joined.withColumn("__new", new).withColumn(text_col, F.col("__new")).select(*[f"`{c}`" for c in docs.columns])

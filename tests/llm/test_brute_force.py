@@ -142,6 +142,23 @@ def test_disclosing_terms(spark):
     assert "[EMAIL]" in clean[0] and "bob@x.org" not in clean[0] and "quokka" not in clean[0] and clean[100] == rows[6][1]
 
 
+def test_terms_of_unique_entities(spark):
+    """A term is read from the whole text, for an entity that occurs once, and marked wherever it occurs."""
+    filler = " ".join(["contact someone about matters"] * 20)
+    rows = [(0, f"Wu {filler} quokka {filler} mail ann@x.org {filler} quokka"), (1, f"a quokka {filler}")]
+    rows += [(100 + i, f"{filler} number {i}") for i in range(1500)]
+    rows += [(5000 + i, f"{filler} mail {i}") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in pii.detect(df).collect()}
+
+    def terms(i):
+        text = dict(rows)[i]
+        return [text[int(a) : int(b)] for k, a, b in (s.split(":") for s in found[i]["spans"].split(",") if s) if k == "term"]
+
+    assert terms(0) == ["Wu", "quokka", "quokka"] and terms(1) == ["quokka"]
+    assert all(found[i]["n_term"] == 0 for i, _ in rows[2:])
+
+
 def test_fingerprints_and_components(spark, texts):
     def fingerprint(t):
         w = t.encode().lower().split()
