@@ -9,8 +9,9 @@ shingle sets, and so their Jaccard similarity, to a few hundredths.
 3. In a large shard, a vantage point orders the members by their distance from it, and only pairs within the radius of each other in
    that order are compared: the triangle inequality excludes the others.
 4. Pairs that are clearly similar (two standard deviations inside the radius) are linked, by a spanning forest for each shard.
-   Of the pairs within two standard deviations of the radius, one is kept for each two components, and the exact similarity
-   of its texts decides. Components are joined by label propagation over shuffled tables.
+   For the pairs within two standard deviations of the radius the exact similarity of the texts decides, in rounds: of the pairs between
+   two components FIRST_CHECKS are checked, then GROWTH times as many in each round, until they are joined or no pair is left.
+   Components are joined by label propagation over shuffled tables.
 
 Single links make a group, as with the narrow fingerprints. Nulls are empty texts; texts without words are one class.
 """
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hedgerow.llm.common import cut, text_chunks, text_or_empty
@@ -35,6 +36,8 @@ BITS = 64 * WORDS
 BAND = 14
 BANDS = BITS // BAND
 SMALL = 96
+FIRST_CHECKS = 4
+GROWTH = 8
 ROWS = 64
 
 
@@ -94,7 +97,7 @@ def near_pairs(points: np.ndarray, firsts: np.ndarray, radius: int) -> Iterator[
 
 
 def _shard_links(batches: Iterator[pa.RecordBatch], near: int, far: int) -> Iterator[pa.RecordBatch]:
-    """(a, b, distance): a spanning forest of the clear links of each shard, and its doubtful pairs, one for each two components."""
+    """(a, b, distance): a spanning forest of the clear links of each shard, and its doubtful pairs between components."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def found(shard: np.ndarray, fp: np.ndarray, points: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
@@ -107,19 +110,16 @@ def _shard_links(batches: Iterator[pa.RecordBatch], near: int, far: int) -> Iter
 
         def clear() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for a, b, d in near_pairs(points[:stop], firsts[firsts < stop], far):
-                doubtful.append((a[d > near], b[d > near], d[d > near]))
+                doubtful.append((a[d > near], b[d > near]))
                 yield a[d <= near], b[d <= near]
 
         a, b = spanning(stop, clear())
         root = np.arange(stop)
         root[a] = b
-        x, y, d = (np.concatenate(v) for v in zip(*doubtful, strict=True)) if doubtful else (np.zeros(0, np.int64),) * 3
+        x, y = (np.concatenate(v) for v in zip(*doubtful, strict=True)) if doubtful else (np.zeros(0, np.int64),) * 2
         rx, ry = root[x], root[y]
-        pair = np.minimum(rx, ry) * stop + np.maximum(rx, ry)
-        order = np.lexsort((d, pair))
-        first = order[np.r_[True, pair[order][1:] != pair[order][:-1]]] if len(order) else order
-        first = first[rx[first] != ry[first]]
-        yield pa.record_batch({"a": np.r_[fp[a], fp[x[first]]], "b": np.r_[fp[b], fp[y[first]]], "clear": np.r_[np.ones(len(a), bool), np.zeros(len(first), bool)]})
+        first = np.flatnonzero(rx != ry)
+        yield pa.record_batch({"a": np.r_[fp[a], np.minimum(fp[x[first]], fp[y[first]])], "b": np.r_[fp[b], np.maximum(fp[x[first]], fp[y[first]])], "clear": np.r_[np.ones(len(a), bool), np.zeros(len(first), bool)]})
 
     for batch in batches:
         own = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "fp")]
@@ -164,17 +164,25 @@ def groups(rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
     shards = names.select("fp", "bits").mapInArrow(banded, "shard long, fp long, bits binary")
     links = cut(shards.repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda x: _shard_links(x, near, far), "a long, b long, clear boolean").distinct(), "wide-links")
     plain = names.select("fp", "name")
-    first = cut(components(links.where("clear").select("a", "b"), plain), "wide-groups")
-    of = plain.join(first, "fp", "left").select("fp", F.coalesce("component", "name").alias("component"))
-    doubtful = links.where(~F.col("clear")).select("a", "b").join(of.select(F.col("fp").alias("a"), F.col("component").alias("ca")), "a").join(of.select(F.col("fp").alias("b"), F.col("component").alias("cb")), "b")
-    ordered = doubtful.where("ca <> cb").select(F.least("ca", "cb").alias("low"), F.greatest("ca", "cb").alias("high"), "a", "b")
-    once = ordered.groupBy("low", "high").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
-    ids = once.join(plain.select(F.col("fp").alias("a"), F.col("name").alias("ra")), "a").join(plain.select(F.col("fp").alias("b"), F.col("name").alias("rb")), "b")
-    with_x = ids.join(rows.select(F.col("row").alias("ra"), F.col("text").alias("x")), "ra")
-    with_y = with_x.join(rows.select(F.col("row").alias("rb"), F.col("text").alias("y")), "rb").select("a", "b", "x", "y")
-    checked = with_y.mapInArrow(lambda x: _verified(x, similarity, shingle), "a long, b long")
-    every = cut(links.where("clear").select("a", "b").unionAll(checked), "wide-checked")
-    last = components(every, plain)
+    every = links.where("clear").select("a", "b")
+    last = cut(components(every, plain), "wide-groups")
+    left, checks = links.where(~F.col("clear")).select("a", "b"), FIRST_CHECKS
+    while True:
+        of = plain.join(last, "fp", "left").select("fp", F.coalesce("component", "name").alias("component"))
+        joined = left.join(of.select(F.col("fp").alias("a"), F.col("component").alias("ca")), "a").join(of.select(F.col("fp").alias("b"), F.col("component").alias("cb")), "b")
+        place = F.row_number().over(Window.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy("a", "b"))
+        ranked = cut(joined.where("ca <> cb").select("a", "b", place.alias("place")), "wide-doubtful")
+        if ranked.isEmpty():
+            break
+        now = ranked.where(F.col("place") <= checks).select("a", "b")
+        ids = now.join(plain.select(F.col("fp").alias("a"), F.col("name").alias("ra")), "a").join(plain.select(F.col("fp").alias("b"), F.col("name").alias("rb")), "b")
+        with_x = ids.join(rows.select(F.col("row").alias("ra"), F.col("text").alias("x")), "ra")
+        with_y = with_x.join(rows.select(F.col("row").alias("rb"), F.col("text").alias("y")), "rb").select("a", "b", "x", "y")
+        good = cut(with_y.mapInArrow(lambda x: _verified(x, similarity, shingle), "a long, b long"), "wide-checked")
+        if not good.isEmpty():
+            every = every.unionAll(good)
+            last = cut(components(every, plain), "wide-groups")
+        left, checks = ranked.where(F.col("place") > checks).select("a", "b"), checks * GROWTH
     return own.select("row", "fp").join(plain, "fp").join(last, "fp", "left").select("row", F.coalesce("component", "name").alias("component"))
 
 

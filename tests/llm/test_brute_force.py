@@ -215,6 +215,38 @@ def test_similar_texts(spark, texts):
     assert {r["row"]: r["component"] for r in simhash_similar.groups(rows, 0.8, 5).collect()} == group
 
 
+def test_every_doubtful_pair_counts(spark, monkeypatch):
+    """Two groups are joined by their only pair of 0.8, whichever pair of them is checked first."""
+    monkeypatch.setattr(simhash_similar, "FIRST_CHECKS", 1)
+    rng = np.random.default_rng(3)
+    every, alone = {}, simhash_similar.shingles_of
+    for g in range(6):
+        words = [f"g{g}w{i}" for i in range(400)]
+        for k, edits in enumerate((0, 3, 8)):  # the first two are clearly similar, the third is similar to the second only
+            for i in rng.choice(np.arange(k * 130, k * 130 + 130, 6), edits, replace=False):
+                words[i] = f"g{g}k{k}x{i}"
+            every[10 * g + k] = " ".join(words)
+    sets = {i: set(alone(t.encode(), 5).tolist()) for i, t in every.items()}
+    expected = {i: i for i in every}
+    for a, b in itertools.combinations(sorted(every), 2):
+        both = len(sets[a] & sets[b])
+        if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+            low, high = sorted((expected[a], expected[b]))
+            expected = {k: low if v == high else v for k, v in expected.items()}
+    rows = spark.createDataFrame(list(every.items()), "row long, text string")
+    assert {r["row"]: r["component"] for r in simhash_similar.groups(rows, 0.8, 5).collect()} == expected
+
+
+def test_shards_give_all_doubtful_pairs():
+    import pyarrow as pa
+
+    points = np.zeros((3, simhash_similar.WORDS), np.uint64)
+    points[1, 0], points[2, 0], points[2, 1] = 1, (1 << 40) - 1, 1  # 0 and 1 are clear; 2 is doubtful with both
+    batch = pa.record_batch({"shard": np.zeros(3, np.int64), "fp": np.arange(3), "bits": [p.tobytes() for p in points]})
+    found = [p for b in simhash_similar._shard_links(iter([batch]), 5, 90) for p in zip(*(b.column(c).to_pylist() for c in ("a", "b", "clear")), strict=True)]
+    assert {(a, b) for a, b, clear in found if not clear} == {(0, 2), (1, 2)}
+
+
 def test_large_shards_lose_no_pair():
     rng = np.random.default_rng(5)
     centre = rng.integers(0, 1 << 63, simhash_similar.WORDS, np.uint64)
