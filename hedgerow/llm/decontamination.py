@@ -3,8 +3,9 @@
 A text is canonicalised: words lose their punctuation and are lower-cased; numbers, units after a number, and names (words in
 title case that don't begin a sentence) become typed placeholders, with their values kept as slots. Windows of WINDOW template
 tokens are hashed, and the windows of the texts are joined by hash with those of the benchmark items; only matches are shuffled.
-An item is in a text if the text has at least ``share`` of the item's distinct windows and its slots are consistent: an item's
-value always stands for the same value of the text. So a question with other numbers or names is caught, and an
+An item is in a text if an occurrence has at least ``share`` of the item's distinct windows and its slots are consistent: an item's
+value always stands for the same value of the text. Occurrences are the hits of one alignment (place in the text less place in the item), those
+within twice the item's length, which allows for insertions, and those of the whole text. So a question with other numbers or names is caught, and an
 accidental mix of values isn't. Items with fewer than WINDOW tokens are one window of their own length; those with fewer than
 MIN_TOKENS are too unspecific to be looked for. Windows with more than MAX_SLOTS placeholders are left out on both sides.
 
@@ -59,7 +60,7 @@ def tokens_of(text: Column) -> Column:
 
 
 def windows_of(tokens: Column, size: Column | int) -> Column:
-    """array<struct<h, slots>>: each window's hash, and the slots' values between U+0001 ('' if it has none)."""
+    """array<struct<at, h, slots>>: each window's place and hash, and the slots' values between U+0001 ('' if it has none)."""
 
     def of(both: Column) -> Column:
         n = F.size(both["h"])
@@ -67,7 +68,7 @@ def windows_of(tokens: Column, size: Column | int) -> Column:
 
         def one(i: Column) -> Column:
             slots = F.when(both["any"], F.array_join(F.slice(both["s"], i, size), "\x01")).otherwise("")
-            return F.struct(F.xxhash64(F.slice(both["h"], i, size)).alias("h"), F.when(slots.rlike("[^\x01]"), slots).otherwise("").alias("slots"))
+            return F.struct(i.alias("at"), F.xxhash64(F.slice(both["h"], i, size)).alias("h"), F.when(slots.rlike("[^\x01]"), slots).otherwise("").alias("slots"))
 
         usable = F.filter(F.transform(starts, one), lambda w: (w["slots"] == "") | (F.size(F.filter(F.split(w["slots"], "\x01"), lambda v: v != "")) <= MAX_SLOTS))
         return usable
@@ -86,9 +87,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select("item_id", text_or_empty().alias("text")).withColumn("tokens", tokens_of(F.col("text"))).withColumn("n", F.size("tokens")).where(F.col("n") >= MIN_TOKENS)
     items = items.withColumn("item", F.xxhash64(F.coalesce(F.col("item_id").cast("string"), F.lit("\x00")), "text")).dropDuplicates(["item"])
     sized = items.withColumn("size", F.least("n", F.lit(WINDOW)))
-    every = sized.select("item", "item_id", "size", F.explode(windows_of(F.col("tokens"), F.col("size"))).alias("w")).select("item", "item_id", "size", F.col("w.h").alias("h"), F.col("w.slots").alias("own_slots"))
-    every = cut(every.groupBy("item", "item_id", "size", "h").agg(F.min("own_slots").alias("own_slots")), "benchmark-windows")
-    totals = every.groupBy("item").agg(F.count("*").alias("total"))
+    every = sized.select("item", "item_id", "n", "size", F.explode(windows_of(F.col("tokens"), F.col("size"))).alias("w")).select("item", "item_id", "n", "size", F.col("w.at").alias("own_at"), F.col("w.h").alias("h"), F.col("w.slots").alias("own_slots"))
+    # the one variant of a window's slots that counts where hits are not aligned
+    plain = every.groupBy("item", "h").agg(F.min(F.struct("own_slots", "own_at")).alias("plain"))
+    every = cut(every.join(plain, ["item", "h"]).withColumn("plain", F.struct("own_slots", "own_at") == F.col("plain")), "benchmark-windows")
+    totals = every.groupBy("item").agg(F.countDistinct("h").alias("total"))
     every = every.join(totals, "item")
     if every.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
         every = F.broadcast(every)
@@ -97,17 +100,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = docs.select(_key(id_col, text).alias("key"), tokens_of(text).alias("tokens"))
 
     def sized_windows(size: int) -> Column:
-        return F.transform(windows_of(F.col("tokens"), size), lambda w: F.struct(F.lit(size).alias("size"), w["h"].alias("h"), w["slots"].alias("slots")))
+        return F.transform(windows_of(F.col("tokens"), size), lambda w: F.struct(F.lit(size).alias("size"), w["at"].alias("at"), w["h"].alias("h"), w["slots"].alias("slots")))
 
     windows = F.concat(*map(sized_windows, sizes or [WINDOW]))
-    flat = rows.select("key", F.explode(windows).alias("w")).select("key", F.col("w.size").alias("size"), F.col("w.h").alias("h"), F.col("w.slots").alias("slots"))
-    hits = cut(flat.join(every, ["size", "h"]).select("key", "item", "item_id", "h", "total", "slots", "own_slots").distinct(), "contaminated-windows")
-    counted = hits.groupBy("key", "item", "item_id", "total").agg(F.countDistinct("h").alias("n"))
+    flat = rows.select("key", F.explode(windows).alias("w")).select("key", F.col("w.size").alias("size"), F.col("w.at").alias("at"), F.col("w.h").alias("h"), F.col("w.slots").alias("slots"))
+    hits = flat.join(every, ["size", "h"])
+    bucket = F.floor(F.col("at") / F.col("n"))
+    unaligned = F.array(F.struct(F.lit("text").alias("by"), F.lit(0).cast("long").alias("k")), F.struct(F.lit("near").alias("by"), bucket.alias("k")), F.struct(F.lit("near").alias("by"), (bucket - 1).alias("k")))
+    aligned = F.array(F.struct(F.lit("aligned").alias("by"), (F.col("at") - F.col("own_at")).cast("long").alias("k")))
+    hits = hits.withColumn("occurrence", F.explode(F.when(F.col("plain"), F.concat(aligned, unaligned)).otherwise(aligned)))
+    hits = cut(hits.select("key", "item", "item_id", "occurrence", "h", "total", "slots", "own_slots").distinct(), "contaminated-windows")
+    counted = hits.groupBy("key", "item", "item_id", "occurrence", "total").agg(F.countDistinct("h").alias("n"))
     # each distinct pair of an item's value and a text's value, for the hits with slots
-    pairs = hits.where(F.col("own_slots") != "").select("key", "item", F.explode(F.arrays_zip(F.split("own_slots", "\x01").alias("a"), F.split("slots", "\x01").alias("b"))).alias("p"))
-    pairs = pairs.where(F.col("p.a") != "").groupBy("key", "item", F.col("p.a").alias("a")).agg(F.countDistinct("p.b").alias("ways"))
-    slots = pairs.groupBy("key", "item").agg(F.avg((F.col("ways") == 1).cast("double")).alias("consistent"))
-    judged = counted.join(slots, ["key", "item"], "left").where((F.col("n") >= share * F.col("total")) & (F.coalesce("consistent", F.lit(1.0)) >= CONSISTENT))
+    pairs = hits.where(F.col("own_slots") != "").select("key", "item", "occurrence", F.explode(F.arrays_zip(F.split("own_slots", "\x01").alias("a"), F.split("slots", "\x01").alias("b"))).alias("p"))
+    pairs = pairs.where(F.col("p.a") != "").groupBy("key", "item", "occurrence", F.col("p.a").alias("a")).agg(F.countDistinct("p.b").alias("ways"))
+    slots = pairs.groupBy("key", "item", "occurrence").agg(F.avg((F.col("ways") == 1).cast("double")).alias("consistent"))
+    judged = counted.join(slots, ["key", "item", "occurrence"], "left").where((F.col("n") >= share * F.col("total")) & (F.coalesce("consistent", F.lit(1.0)) >= CONSISTENT))
     return judged.groupBy("key").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max(F.col("n") / F.col("total")).alias("share"))
 
 

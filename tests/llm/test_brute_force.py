@@ -375,6 +375,18 @@ def test_decontamination(spark):
     assert [got[i]["contaminated"] for i in (1, 2, 3, 5)] == [True, True, False, False] and got[1]["items"] == [7]
 
 
+def test_occurrences_are_judged_apart(spark):
+    from hedgerow.llm import decontamination
+
+    item = "Alice had 12 apples and gave 5 kg of them to Bob who then sold the rest for 7 dollars at the market"
+    other = "Carol had 34 apples and gave 9 kg of them to Dave who then sold the rest for 8 dollars at the market"
+    recipe = "now add 3 kg of salt to the big pot and stir it well now add 5 kg of salt to the big pot and stir it well"
+    rows = [(1, f"First. {item}. Then again. {other}."), (2, f"So {recipe} and serve."), (3, "nothing of the kind is in this text at all, not even a part of it")]
+    bench = spark.createDataFrame([(7, item), (8, recipe)], "item_id long, text string")
+    got = {r["doc_id"]: r["items"] for r in decontamination.judge(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {1: [7], 2: [8], 3: []}
+
+
 def test_benchmark_items_are_found(spark, texts):
     items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
     holding = {i for i, t in texts.items() for b in items.values() if b.lower() in t.lower()}
