@@ -7,7 +7,8 @@ An item is in a text if an occurrence has at least ``share`` of the item's disti
 value always stands for the same value of the text. Occurrences are the hits of one alignment (place in the text less place in the item), those
 within twice the item's length, which allows for insertions, and those of the whole text. So a question with other numbers or names is caught, and an
 accidental mix of values isn't. Items with fewer than WINDOW tokens are one window of their own length; those with fewer than
-MIN_TOKENS are too unspecific to be looked for. Windows with more than MAX_SLOTS placeholders are left out on both sides.
+MIN_TOKENS, and windows with more than MAX_SLOTS placeholders, are too unspecific as templates: they are hashed with their values, so that
+verbatim copies are found.
 
 The windows of the benchmark are broadcast up to MAX_BROADCAST of them, beyond that they are joined by a shuffle.
 
@@ -59,8 +60,11 @@ def tokens_of(text: Column) -> Column:
     return let(words_of(apart), typed)
 
 
-def windows_of(tokens: Column, size: Column | int) -> Column:
-    """array<struct<at, h, slots>>: each window's place and hash, and the slots' values between U+0001 ('' if it has none)."""
+def windows_of(tokens: Column, size: int, literally: bool = False) -> Column:
+    """array<struct<at, h, slots>>: each window's place and hash, and the slots' values between U+0001 ('' if it has none).
+
+    Windows with more than MAX_SLOTS slots, or all if ``literally``, are hashed with their values and have no slots.
+    """
 
     def of(both: Column) -> Column:
         n = F.size(both["h"])
@@ -70,12 +74,17 @@ def windows_of(tokens: Column, size: Column | int) -> Column:
             slots = F.when(both["any"], F.array_join(F.slice(both["s"], i, size), "\x01")).otherwise("")
             return F.struct(i.alias("at"), F.xxhash64(F.slice(both["h"], i, size)).alias("h"), F.when(slots.rlike("[^\x01]"), slots).otherwise("").alias("slots"))
 
-        usable = F.filter(F.transform(starts, one), lambda w: (w["slots"] == "") | (F.size(F.filter(F.split(w["slots"], "\x01"), lambda v: v != "")) <= MAX_SLOTS))
-        return usable
+        def told(i: Column, w: Column) -> Column:
+            literal = F.lit(True) if literally else (w["slots"] != "") & (F.size(F.filter(F.split(w["slots"], "\x01"), lambda v: v != "")) > MAX_SLOTS)
+            values = F.xxhash64(F.lit("literally"), F.slice(both["v"], i, size))
+            return F.struct(i.alias("at"), F.when(literal, values).otherwise(w["h"]).alias("h"), F.when(literal, "").otherwise(w["slots"]).alias("slots"))
+
+        return F.transform(F.transform(starts, one), lambda w: told(w["at"], w))
 
     h = F.transform(tokens, lambda x: F.xxhash64(x["t"]))
     s = F.transform(tokens, lambda x: x["s"])
-    return let(F.struct(h.alias("h"), s.alias("s"), F.exists(tokens, lambda x: x["s"] != "").alias("any")), of)
+    v = F.transform(tokens, lambda x: F.when(x["s"] != "", x["s"]).otherwise(x["t"]))
+    return let(F.struct(h.alias("h"), s.alias("s"), v.alias("v"), F.exists(tokens, lambda x: x["s"] != "").alias("any")), of)
 
 
 def _key(id_col: str, text: Column) -> Column:
@@ -84,10 +93,10 @@ def _key(id_col: str, text: Column) -> Column:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE) -> DataFrame:
     """(key, items, share): the rows of ``docs`` that have an item, told by the hash of their id and text; one row for each key."""
-    items = benchmark.select("item_id", text_or_empty().alias("text")).withColumn("tokens", tokens_of(F.col("text"))).withColumn("n", F.size("tokens")).where(F.col("n") >= MIN_TOKENS)
+    items = benchmark.select("item_id", text_or_empty().alias("text")).withColumn("tokens", tokens_of(F.col("text"))).withColumn("n", F.size("tokens")).where(F.col("n") > 0)
     items = items.withColumn("item", F.xxhash64(F.coalesce(F.col("item_id").cast("string"), F.lit("\x00")), "text")).dropDuplicates(["item"])
     sized = items.withColumn("size", F.least("n", F.lit(WINDOW)))
-    every = sized.select("item", "item_id", "n", "size", F.explode(windows_of(F.col("tokens"), F.col("size"))).alias("w")).select("item", "item_id", "n", "size", F.col("w.at").alias("own_at"), F.col("w.h").alias("h"), F.col("w.slots").alias("own_slots"))
+    every = sized.select("item", "item_id", "n", "size", F.explode(F.coalesce(*[F.when(F.col("size") == n, windows_of(F.col("tokens"), n, n < MIN_TOKENS)) for n in range(1, WINDOW + 1)])).alias("w")).select("item", "item_id", "n", "size", F.col("w.at").alias("own_at"), F.col("w.h").alias("h"), F.col("w.slots").alias("own_slots"))
     # the one variant of a window's slots that counts where hits are not aligned
     plain = every.groupBy("item", "h").agg(F.min(F.struct("own_slots", "own_at")).alias("plain"))
     every = cut(every.join(plain, ["item", "h"]).withColumn("plain", F.struct("own_slots", "own_at") == F.col("plain")), "benchmark-windows")
@@ -100,7 +109,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = docs.select(_key(id_col, text).alias("key"), tokens_of(text).alias("tokens"))
 
     def sized_windows(size: int) -> Column:
-        return F.transform(windows_of(F.col("tokens"), size), lambda w: F.struct(F.lit(size).alias("size"), w["at"].alias("at"), w["h"].alias("h"), w["slots"].alias("slots")))
+        return F.transform(windows_of(F.col("tokens"), size, size < MIN_TOKENS), lambda w: F.struct(F.lit(size).alias("size"), w["at"].alias("at"), w["h"].alias("h"), w["slots"].alias("slots")))
 
     windows = F.concat(*map(sized_windows, sizes or [WINDOW]))
     flat = rows.select("key", F.explode(windows).alias("w")).select("key", F.col("w.size").alias("size"), F.col("w.at").alias("at"), F.col("w.h").alias("h"), F.col("w.slots").alias("slots"))

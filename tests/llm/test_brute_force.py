@@ -387,6 +387,16 @@ def test_occurrences_are_judged_apart(spark):
     assert got == {1: [7], 2: [8], 3: []}
 
 
+def test_items_of_values_and_short_items(spark):
+    from hedgerow.llm import decontamination
+
+    sums, short = "What is 12 + 7 + 9 + 4 + 11 + 6 + 2 + 8 + 3?", "Define entropy briefly"
+    rows = [(1, f"Answer this. {sums} Good."), (2, f"Please now: {short}, in a line."), (3, "What is 13 + 1 + 8 + 5 + 10 + 3 + 1 + 7 + 2? Define it briefly")]
+    bench = spark.createDataFrame([(7, sums), (8, short)], "item_id long, text string")
+    got = {r["doc_id"]: r["items"] for r in decontamination.judge(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {1: [7], 2: [8], 3: []}
+
+
 def test_benchmark_items_are_found(spark, texts):
     items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
     holding = {i for i, t in texts.items() for b in items.values() if b.lower() in t.lower()}
