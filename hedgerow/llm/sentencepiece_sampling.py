@@ -7,10 +7,10 @@ replacement. Perturbed A-star search finds them: the search space is a queue of
 maximum of its perturbed values (a Gumbel truncated at its parent's); the best set is split at the path that attains it into
 "the same up to step t, another edge at t" for each step t. That bound is exact, so the search never expands a path in vain.
 
-No piece crosses from a character other than the space mark to the space mark, or a line feed, so a lattice is a chain of
-small ones that texts share: these are built once for each distinct unit of a task, and paths of all texts of a chunk are
-drawn together in numpy. The random numbers are hashes of the row key and of the step, so that a row's samples depend on
-its key and text only. Steps from GROUP on share one entry of the queue, which is split when it is reached.
+Where no piece crosses from a character other than the space mark to the space mark, or a line feed, a lattice is a chain of
+small ones that texts share: these are built once for each distinct unit of a worker, and paths of all texts of a chunk are
+drawn together in numpy. With a vocabulary that has such pieces a unit is a whole text. The random numbers are hashes of the row key and of the step, and a
+unit's numbers depend on the unit alone, so that a row's samples and scores depend on its key and text only, to the last bit. Steps from GROUP on share one entry of the queue, which is split when it is reached.
 
 The inclusion score of a sample is the probability that its perturbed value exceeds the (k+1)-th one, 1 if there is none.
 
@@ -24,12 +24,12 @@ empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,10 +43,11 @@ LITERAL = "\ud800"
 K = 2
 ALPHA = 1.0
 GROUP = 48
-CACHE_UNITS = 200_000
+CACHE_UNITS = 150_000
+#: Characters of a unit that is told by another hash.
+LONG_UNIT = 64
 CHUNK_CHARS = 1 << 19
 
-_UNITS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -63,6 +64,22 @@ def uniform(*parts: np.ndarray | int) -> np.ndarray:
     return out[0] if scalar else out
 
 
+class Growing:
+    """An array that grows at its end, in doubling."""
+
+    def __init__(self, first: np.ndarray):
+        self._room, self.all = first, first
+
+    def extend(self, more: np.ndarray) -> None:
+        n = len(self.all) + len(more)
+        if n > len(self._room):
+            room = np.empty(max(n, 2 * len(self._room)), self._room.dtype)
+            room[: len(self.all)] = self.all
+            self._room = room
+        self._room[n - len(more) : n] = more
+        self.all = self._room[:n]
+
+
 def code_points(s: str) -> np.ndarray:
     return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -86,6 +103,8 @@ class Vocabulary:
             for n in range(1, len(p)):
                 prefixes.setdefault(p[:n], -1)
             prefixes[p] = i
+        # units end before a space mark and around a line feed, unless a piece goes on there
+        self.crosses = any(SPACE in p.lstrip(SPACE) or ("\n" in p and len(p) > 1) for p, i in prefixes.items() if i >= 0)
         raw = [bytes([bytes_[i]]) if i in bytes_ else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
         self.sizes = np.array([len(r) for r in raw], np.int64)
         self.places = np.cumsum(self.sizes) - self.sizes
@@ -96,6 +115,12 @@ class Vocabulary:
         order = np.argsort(hashes)
         self.table, self.piece_at = HashTable(hashes[order]), np.fromiter(prefixes.values(), np.int64, len(prefixes))[order]
 
+    def data_of(self, pieces: np.ndarray) -> bytes:
+        """The bytes of all pieces, one after the other."""
+        sizes = self.sizes[pieces]
+        shift = np.repeat(self.places[pieces] - (np.cumsum(sizes) - sizes), sizes)
+        return self.data[shift + np.arange(len(shift))].tobytes()
+
     @staticmethod
     def load(path: str = MODEL, alpha: float = ALPHA) -> Vocabulary:
         import sentencepiece
@@ -112,7 +137,8 @@ class Lattices:
     """The lattices of the units seen so far. Node numbers are global; a node's edges lie together, a unit's last node has none.
 
     An edge has the node it leads to, its pieces (edge_atoms and edge_size: where they begin in ``atoms`` and how many they
-    are, several only for a character spelled in bytes), and the cumulative probability in its node.
+    are, several only for a character spelled in bytes), its probability in its node, and the sum of those up to it in the node. A unit's
+    numbers depend on the unit alone.
     """
 
     def __init__(self, vocabulary: Vocabulary):
@@ -120,11 +146,15 @@ class Lattices:
         self.atoms = list(range(len(vocabulary.pieces)))
         self.atom_array = np.array(self.atoms, np.int32)
         self.spelled: dict[int, tuple[int, int]] = {}
-        self.ids: dict[str, int] = {}
-        self.root = np.zeros(0, np.int64)
-        self.first_edge = np.zeros(1, np.int64)
-        self.edge_from, self.edge_to, self.edge_atoms, self.edge_size = (np.zeros(0, np.int64) for _ in range(4))
-        self.edge_cum = np.zeros(0)
+        self.ids: dict[int, int] = {}
+        kinds = {"root": np.int64, "edge_from": np.int64, "edge_to": np.int64, "edge_atoms": np.int32, "edge_size": np.int16, "edge_p": np.float64, "edge_cum": np.float64}
+        self._grown = {c: Growing(np.zeros(0, kind)) for c, kind in kinds.items()} | {"first_edge": Growing(np.zeros(1, np.int64))}
+        self._show()
+
+    def _show(self) -> None:
+        g = self._grown
+        self.root, self.first_edge, self.edge_from, self.edge_to = g["root"].all, g["first_edge"].all, g["edge_from"].all, g["edge_to"].all
+        self.edge_atoms, self.edge_size, self.edge_p, self.edge_cum = g["edge_atoms"].all, g["edge_size"].all, g["edge_p"].all, g["edge_cum"].all
 
     def _spell(self, point: int) -> tuple[int, int]:
         if point not in self.spelled:
@@ -133,10 +163,8 @@ class Lattices:
             self.atoms += [self.v.byte_ids[b] for b in raw]
         return self.spelled[point]
 
-    def _edges(self, units: list[str]) -> tuple[np.ndarray, ...]:
+    def _edges(self, text: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
         """Source character, length, atoms, their number and log weight of all edges, by source and then by length."""
-        text = code_points("".join(units))
-        sizes = np.fromiter(map(len, units), np.int64, len(units))
         room = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(text))
         hashed = RangeHash(text)
         live, found, one = np.arange(len(text)), [], np.zeros(len(text), bool)
@@ -154,55 +182,83 @@ class Lattices:
         source, lengths, piece = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
         bare = np.flatnonzero(~one)
         points, which = np.unique(text[bare], return_inverse=True)
-        spelled = np.array([self._spell(int(p)) for p in points], np.int64).reshape(-1, 2)[which]
-        self.atom_array = np.array(self.atoms, np.int32)
-        rare = self.v.log_weights[self.v.byte_ids[0]] - 12.0
-        every = (
-            np.r_[source, bare], np.r_[lengths, np.ones(len(bare), np.int64)], np.r_[piece, spelled[:, 0]],
-            np.r_[np.ones(len(piece), np.int64), spelled[:, 1]], np.r_[self.v.log_weights[piece], np.full(len(bare), rare)],
-        )
-        order = np.lexsort((every[1], every[0]))
-        return tuple(x[order] for x in every)
-
-    def add(self, units: list[str]) -> None:
-        """Build the lattices of new distinct units, all together."""
-        for u in units:
-            self.ids[u] = len(self.ids)
+        if len(points):
+            spelled = np.array([self._spell(int(p)) for p in points], np.int64).reshape(-1, 2)[which]
+            self.atom_array = np.array(self.atoms, np.int32)
+            rare = self.v.log_weights[self.v.byte_ids[0]] - 12.0
+            source, lengths = np.r_[bare, source], np.r_[np.ones(len(bare), np.int64), lengths]
+            weight = np.r_[np.full(len(bare), rare), self.v.log_weights[piece]]
+            size, piece = np.r_[spelled[:, 1], np.ones(len(piece), np.int64)], np.r_[spelled[:, 0], piece]
+        else:
+            weight, size = self.v.log_weights[piece], np.ones(len(piece), np.int64)
+        order = np.argsort(source, kind="stable")  # by length already
+        return source[order], lengths[order], piece[order], size[order], weight[order]
+
+    def add(self, text: np.ndarray, sizes: np.ndarray) -> None:
+        """Build the lattices of new distinct units, all together: their code points one after the other, and their lengths."""
         node = len(self.first_edge) - 1
-        sizes = np.fromiter(map(len, units), np.int64, len(units))
-        n_nodes = int(sizes.sum()) + len(units)
-        chars, lengths, atoms, atom_counts, weight = self._edges(units)
-        unit = np.repeat(np.arange(len(units)), sizes)[chars]
-        source = node + chars + unit  # each unit before has one more node than characters
+        n_nodes = len(text) + len(sizes)
+        chars, lengths, atoms, atom_counts, weight = self._edges(text, sizes)
+        ends = np.cumsum(sizes)
+        unit = np.repeat(np.arange(len(sizes)), sizes)[chars]
+        source = chars + unit  # each unit before has one more node than characters
         to = source + lengths
-        away = np.cumsum(sizes)[unit] - chars
-        roots = node + np.cumsum(sizes + 1) - sizes - 1
+        away = ends[unit] - chars
+        counts = np.bincount(source, minlength=n_nodes)
+        last = np.cumsum(counts)
         after = np.zeros(n_nodes)
-        order = np.argsort(away, kind="stable")
+        order = np.argsort(away.astype(np.uint16) if len(away) and away.max() < 1 << 16 else away, kind="stable")
         levels = np.searchsorted(away[order], np.arange(1, (away.max() if len(away) else 0) + 2))
+        w, t, f = weight[order], to[order], source[order]
         for a, b in zip(levels[:-1], levels[1:], strict=True):  # from the last character to the first
-            own = order[a:b]
-            if len(own):
-                total = weight[own] + after[to[own] - node]
-                first = np.flatnonzero(np.r_[True, source[own][1:] != source[own][:-1]])
-                after[source[own][first] - node] = np.logaddexp.reduceat(total, first)
-        p = np.exp(weight + after[to - node] - after[source - node])
-        counts = np.bincount(source - node, minlength=n_nodes)
-        ends = np.cumsum(counts)
-        summed = np.cumsum(p)
-        before = np.r_[0.0, summed][ends - counts]
-        cum = summed - before[source - node]
-        cum[ends[counts > 0] - 1] = 1.0
-        self.root = np.concatenate([self.root, roots])
-        self.first_edge = np.concatenate([self.first_edge, self.first_edge[-1] + ends])
-        self.edge_from, self.edge_to = np.concatenate([self.edge_from, source]), np.concatenate([self.edge_to, to])
-        self.edge_cum = np.concatenate([self.edge_cum, cum])
-        self.edge_atoms, self.edge_size = np.concatenate([self.edge_atoms, atoms]), np.concatenate([self.edge_size, atom_counts])
-
-    def probability(self, edge: np.ndarray) -> np.ndarray:
-        """Of an edge, given its node."""
-        back = np.where(edge > 0, self.edge_cum[edge - 1], 0.0)
-        return self.edge_cum[edge] - np.where(self.edge_cum[edge] > back, back, 0.0) if len(edge) else np.zeros(0)
+            if a < b:
+                own = f[a:b]
+                first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                after[own[first]] = np.logaddexp.reduceat(w[a:b] + after[t[a:b]], first)
+        p = np.exp(weight + after[to] - after[source])
+        cum, live, back = p.copy(), np.flatnonzero(counts > 1), 1
+        while len(live):  # a node's own sums, edge by edge
+            at = last[live] - counts[live] + back
+            cum[at] += cum[at - 1]
+            back += 1
+            live = live[counts[live] > back]
+        cum[last[counts > 0] - 1] = 1.0
+        more = {
+            "root": node + ends - sizes + np.arange(len(sizes)), "first_edge": self.first_edge[-1] + last, "edge_from": source + node, "edge_to": to + node,
+            "edge_atoms": atoms, "edge_size": atom_counts, "edge_p": p, "edge_cum": cum,
+        }
+        for c, x in more.items():
+            self._grown[c].extend(x)
+        self._show()
+
+    def units_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all units of the texts, and how many each text has; new units are added."""
+        marked = [(SPACE + t.replace(SPACE, LITERAL).replace(" ", SPACE)) if t else "" for t in texts]
+        codes = code_points("".join(marked))
+        lengths = np.fromiter(map(len, marked), np.int64, len(marked))
+        ends = np.cumsum(lengths)
+        first = np.zeros(len(codes), bool)
+        first[(ends - lengths)[lengths > 0]] = True
+        if not self.v.crosses:
+            space, feed = codes == ord(SPACE), codes == 10
+            first |= feed
+            first[1:] |= feed[:-1] | (space[1:] & ~space[:-1])
+        starts = np.flatnonzero(first)
+        stops = np.r_[starts[1:], len(codes)]
+        hashes = RangeHash(codes).of(starts, stops)
+        for i in np.flatnonzero(stops - starts > LONG_UNIT):  # polynomial hashes of long ranges can be made to collide
+            hashes[i] = xxhash.xxh64_intdigest(codes[starts[i] : stops[i]])
+        found, at, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.ids) > CACHE_UNITS:
+            self.__init__(self.v)
+        ids = np.fromiter((self.ids.get(h, -1) for h in found.tolist()), np.int64, len(found))
+        new = np.flatnonzero(ids < 0)
+        if len(new):
+            ids[new] = np.arange(len(self.ids), len(self.ids) + len(new))
+            self.ids.update(zip(found[new].tolist(), ids[new].tolist(), strict=True))
+            sizes = (stops - starts)[at[new]]
+            self.add(codes[np.repeat(starts[at[new]] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())], sizes)
+        return ids[which], np.diff(np.searchsorted(starts, np.r_[0, ends]))
 
     def draw(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The edge of each node that u falls on."""
@@ -243,9 +299,9 @@ class Path:
     barred: dict[int, list[int]] = field(default_factory=dict)  # edges that a step may not take, because their sets are apart
 
 
-def truncated(log_mass: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
+def truncated(log_mass: np.ndarray, bound: float | np.ndarray, u: np.ndarray) -> np.ndarray:
     """Gumbels with these locations, given that they don't exceed ``bound``."""
-    with np.errstate(divide="ignore", over="ignore"):
+    with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
         return log_mass - np.log(-np.log(u) + np.exp(np.minimum(log_mass - bound, 700)))
 
 
@@ -257,37 +313,20 @@ class Search:
 
     def _others(self, path: Path, steps: np.ndarray) -> np.ndarray:
         """Log-probability of another edge than the path's at each step, given the steps before."""
-        edge = path.edges[steps]
-        with np.errstate(divide="ignore"):
-            left = np.log1p(-np.minimum(self.l.probability(edge), 1.0))
-            node = self.l.edge_from[edge]
-            left[self.l.first_edge[node + 1] - self.l.first_edge[node] == 1] = -np.inf
-            for t, out in path.barred.items():
-                if len(steps) and steps[0] <= t <= steps[-1]:
-                    ways = np.arange(self.l.first_edge[node[t - steps[0]]], self.l.first_edge[node[t - steps[0]] + 1])
-                    own = self.l.probability(ways)
-                    own[np.array([*out, path.edges[t]]) - ways[0]] = 0.0
-                    rest = own.sum()
-                    left[t - steps[0]] = np.log(rest) if rest > 0 else -np.inf
+        left = others(self.l, path.edges[steps])
+        for t, out in path.barred.items():
+            if len(steps) and steps[0] <= t <= steps[-1]:
+                left[t - steps[0]] = self.unbarred(path, t, out)
         return left
 
-    def split(self, path: Path, first: int, before: float, u: np.ndarray) -> None:
-        """Queue the sets of paths that leave ``path`` at ``first`` or later; ``before`` is the log mass of the steps before it."""
-        stop = min(len(path.edges), first + GROUP)
-        n = stop - first
-        reach = np.empty(n + 1)
-        reach[0] = before
-        np.cumsum(path.log_p[first:stop], out=reach[1:])
-        reach[1:] += before
-        mass, steps = np.empty(n + 1), np.arange(first, stop + 1)
-        mass[:n] = reach[:n] + self._others(path, steps[:n])
-        later = path.log_p[stop:].sum()
-        mass[n] = reach[n] + np.log1p(-np.exp(later)) if later < 0 else -np.inf
-        steps[n] = -1 - stop
-        live = np.flatnonzero(np.isfinite(mass))
-        if len(live):
-            values = truncated(mass[live], path.value, u[live])
-            self.queue.append([values, steps[live], path, reach[live], mass[live]])
+    def unbarred(self, path: Path, t: int, out: list[int]) -> float:
+        """Log-probability at step t of an edge that is neither the path's nor in ``out``."""
+        node = self.l.edge_from[path.edges[t]]
+        ways = np.arange(self.l.first_edge[node], self.l.first_edge[node + 1])
+        own = self.l.edge_p[ways]
+        own[np.array([*out, path.edges[t]]) - ways[0]] = 0.0
+        rest = own.sum()
+        return float(np.log(rest)) if rest > 0 else -np.inf
 
     def pop(self) -> tuple[Path, int, float, float] | None:
         """The best set: path, step, log mass of the steps before, value."""
@@ -321,6 +360,45 @@ class Search:
         return max((float(q[0].max()) for q in self.queue), default=-np.inf)
 
 
+def others(lattices: Lattices, edge: np.ndarray) -> np.ndarray:
+    """Log-probability of another edge of each edge's node."""
+    node = lattices.edge_from[edge]
+    with np.errstate(divide="ignore"):
+        return np.where(lattices.first_edge[node + 1] - lattices.first_edge[node] == 1, -np.inf, np.log1p(-np.minimum(lattices.edge_p[edge], 1.0)))
+
+
+def split_all(lattices: Lattices, searches: list[Search], paths: list[Path], firsts: list[int], befores: list[float], u: np.ndarray) -> None:
+    """Queue for each search the sets of paths that leave its path at its first step or later; ``befores`` are the log masses of the steps before."""
+    n = len(paths)
+    first = np.array(firsts, np.int64)
+    stop = np.minimum(first + GROUP, [len(p.edges) for p in paths])
+    size = stop - first
+    row = np.repeat(np.arange(n), size)
+    column = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    reach = np.zeros((n, GROUP + 1))
+    reach[row, column + 1] = np.concatenate([p.log_p[a:b] for p, a, b in zip(paths, first, stop, strict=True)])
+    np.cumsum(reach, axis=1, out=reach)
+    reach += np.array(befores)[:, None]
+    mass = np.full((n, GROUP + 1), -np.inf)
+    left = others(lattices, np.concatenate([p.edges[a:b] for p, a, b in zip(paths, first, stop, strict=True)]))
+    mass[row, column] = reach[row, column] + left
+    later = np.array([p.log_p[b:].sum() for p, b in zip(paths, stop, strict=True)])
+    some = np.flatnonzero(later < 0)
+    mass[some, size[some]] = reach[some, size[some]] + np.log1p(-np.exp(later[some]))
+    for i, p in enumerate(paths):
+        for t, out in p.barred.items():
+            if first[i] <= t < stop[i]:
+                mass[i, t - first[i]] = reach[i, t - first[i]] + searches[i].unbarred(p, t, out)
+    values = truncated(mass, np.array([p.value for p in paths])[:, None], u)
+    steps = np.arange(GROUP + 1) + first[:, None]
+    steps[np.arange(n), size] = -1 - stop
+    finite = np.isfinite(mass)
+    for i, p in enumerate(paths):
+        live = np.flatnonzero(finite[i])
+        if len(live):
+            searches[i].queue.append([values[i, live], steps[i, live], p, reach[i, live], mass[i, live]])
+
+
 @dataclass
 class Sample:
     edges: np.ndarray
@@ -330,34 +408,26 @@ class Sample:
 
 def sample_chunk(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -> list[tuple[list[Sample], float]]:
     """For each text its samples, best first, and the perturbed value that would come next."""
-    marked = [(SPACE + t.replace(SPACE, LITERAL).replace(" ", SPACE)) if t else "" for t in texts]
-    units = [_UNITS.findall(t) for t in marked]
-    flat = [u for own in units for u in own]
-    if len(lattices.ids) > CACHE_UNITS:
-        lattices.__init__(lattices.v)
-    new = [u for u in dict.fromkeys(flat) if u not in lattices.ids]
-    if new:
-        lattices.add(new)
-    ids = np.fromiter(map(lattices.ids.__getitem__, flat), np.int64, len(flat))
-    sizes = np.fromiter(map(len, units), np.int64, len(units))
+    ids, sizes = lattices.units_of(texts)
     begin = np.cumsum(sizes) - sizes
-    place = np.arange(len(flat)) - np.repeat(begin, sizes)
+    place = np.arange(len(ids)) - np.repeat(begin, sizes)
     seeds = (uniform(np.repeat(keys, sizes), place) * (1 << 53)).astype(np.uint64)
     edges, n = lattices.walk(lattices.root[ids], seeds)
     with np.errstate(divide="ignore"):
-        log_p = np.log(np.maximum(lattices.probability(edges), 1e-300))
+        log_p = np.log(np.maximum(lattices.edge_p[edges], 1e-300))
     of_unit = np.repeat(place, n)
     bounds = np.r_[0, np.cumsum(np.add.reduceat(np.r_[n, 0], begin) * (sizes > 0) if len(n) else np.zeros(len(texts), np.int64))]
-    searches, found = [], []
+    searches, found, paths = [], [], []
     first_u = uniform(keys[:, None], 1, np.arange(GROUP + 1))
     tops = -np.log(-np.log(uniform(keys, 12345)))
     for d in range(len(texts)):
         s = slice(bounds[d], bounds[d + 1])
         path = Path(edges[s], log_p[s], float(tops[d]), of_unit[s])
-        search = Search(lattices, int(keys[d]))
-        search.split(path, 0, 0.0, first_u[d])
-        searches.append(search)
+        searches.append(Search(lattices, int(keys[d])))
+        paths.append(path)
         found.append([Sample(path.edges, float(path.log_p.sum()), path.value)])
+    if paths:
+        split_all(lattices, searches, paths, [0] * len(paths), [0.0] * len(paths), first_u)
     for round_ in range(1, k):
         popped = [(d, p) for d, s in enumerate(searches) if (p := s.pop()) is not None]
         if not popped:
@@ -370,7 +440,7 @@ def sample_chunk(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int)
             node = int(lattices.edge_from[edge])
             ways = np.arange(lattices.first_edge[node], lattices.first_edge[node + 1])
             out = [*path.barred.get(t, []), edge]
-            p = lattices.probability(ways)
+            p = lattices.edge_p[ways]
             p[np.array(out) - ways[0]] = 0.0
             c = np.cumsum(p)
             turn = int(ways[min(int(np.searchsorted(c, turn_u[i] * c[-1])), len(ways) - 1)])
@@ -382,25 +452,27 @@ def sample_chunk(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int)
         walk_seeds = (uniform(np.repeat(own_keys, counts), 4000 + round_, of_start) * (1 << 53)).astype(np.uint64)
         walked, m = lattices.walk(np.concatenate(starts), walk_seeds)
         with np.errstate(divide="ignore"):
-            walked_p = np.log(np.maximum(lattices.probability(walked), 1e-300))
+            walked_p = np.log(np.maximum(lattices.edge_p[walked], 1e-300))
         stop = np.cumsum(np.add.reduceat(m, np.cumsum(counts) - counts))
+        new_paths = []
         for i, (d, (path, t, reach, value)) in enumerate(popped):
             s = slice(stop[i - 1] if i else 0, stop[i])
             turn, out = turns[i]
             own = np.concatenate([path.edges[:t], [turn], walked[s]])
-            turn_p = float(np.log(max(float(lattices.probability(np.array([turn]))[0]), 1e-300)))
+            turn_p = float(np.log(max(float(lattices.edge_p[turn]), 1e-300)))
             first = np.cumsum(counts)[i] - counts[i]
             unit = int(path.units[t])
             of = np.concatenate([path.units[:t], [unit], np.repeat(np.arange(unit, unit + counts[i]), m[first : first + counts[i]])])
             new_path = Path(own, np.concatenate([path.log_p[:t], [turn_p], walked_p[s]]), value, of, {t: out})
-            searches[d].split(new_path, t, reach, split_u[i])
+            new_paths.append(new_path)
             found[d].append(Sample(own, float(new_path.log_p.sum()), value))
+        split_all(lattices, [searches[d] for d, _ in popped], new_paths, [t for _, (_, t, _, _) in popped], [reach for _, (_, _, reach, _) in popped], split_u)
     return [(f, s.best_left()) for f, s in zip(found, searches, strict=True)]
 
 
 def pieces_of(lattices: Lattices, edges: np.ndarray) -> np.ndarray:
     """Piece ids, with spelled characters in their bytes."""
-    size = lattices.edge_size[edges]
+    size = lattices.edge_size[edges].astype(np.int64)
     shift = np.repeat(lattices.edge_atoms[edges] - (np.cumsum(size) - size), size)
     return lattices.atom_array[shift + np.arange(len(shift))]
 
@@ -409,9 +481,7 @@ def decode_pieces(v: Vocabulary, pieces: np.ndarray) -> bytes:
     """The text that the pieces spell, without the space that encoding put before it."""
     if not len(pieces):
         return b""
-    sizes = v.sizes[pieces]
-    shift = np.repeat(v.places[pieces] - (np.cumsum(sizes) - sizes), sizes)
-    out = v.data[shift + np.arange(len(shift))].tobytes()
+    out = v.data_of(pieces)
     return out[1:] if out[:1] == b" " else out
 
 
@@ -426,6 +496,18 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
+_lattices: dict[int, Lattices] = {}
+
+
+def _kept(shared) -> Lattices:
+    """The lattices that this worker has built for the broadcast vocabulary; tasks that come later use them again."""
+    v = shared.value
+    if id(v) not in _lattices:
+        _lattices.clear()
+        _lattices[id(v)] = Lattices(v)
+    return _lattices[id(v)]
+
+
 def encode_sampled(docs: DataFrame, k: int = K, vocabulary: Vocabulary | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, rank, pieces, log_prob, perturbed, inclusion, round_trip): up to k distinct samples for each row, rank 1 first.
 
@@ -440,21 +522,25 @@ def encode_sampled(docs: DataFrame, k: int = K, vocabulary: Vocabulary | None =
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
 
-        lattices = Lattices(shared.value)
+        lattices = _kept(shared)
         for batch in batches:
             for part in _chunks(batch):
                 texts = part.column("text").to_pylist()
                 keys = part.column("key").to_numpy().view(np.uint64)
-                rows: dict[str, list] = {c: [] for c in ("at", "rank", "pieces", "log_prob", "perturbed", "inclusion", "round_trip")}
-                for d, (samples, after) in enumerate(sample_chunk(lattices, texts, keys, k)):
-                    raw = texts[d].encode()
-                    for r, s in enumerate(samples):
-                        pieces = pieces_of(lattices, s.edges)
-                        inclusion = -np.expm1(-np.exp(min(s.log_p - after, 700.0))) if np.isfinite(after) else 1.0
-                        for c, x in zip(rows, (d, r + 1, pieces, s.log_p, s.value, inclusion, decode_pieces(lattices.v, pieces) == raw), strict=True):
-                            rows[c].append(x)
-                sizes = np.array([len(p) for p in rows["pieces"]], np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.concatenate(rows["pieces"]) if len(sizes) else np.zeros(0, np.int32)))
+                found = sample_chunk(lattices, texts, keys, k)
+                every = [(d, r + 1, x, after) for d, (samples, after) in enumerate(found) for r, x in enumerate(samples)]
+                edges = np.concatenate([x.edges for _, _, x, _ in every]) if every else np.zeros(0, np.int64)
+                pieces = pieces_of(lattices, edges)
+                ends = np.r_[0, np.cumsum(lattices.edge_size[edges], dtype=np.int64)][np.cumsum([0] + [len(x.edges) for _, _, x, _ in every])]
+                spelled = lattices.v.data_of(pieces)
+                places = np.r_[0, np.cumsum(lattices.v.sizes[pieces])][ends]
+                raw = [b" " + t.encode() if t else b"" for t in texts]
+                rows = {
+                    "at": [d for d, *_ in every], "rank": [r for _, r, *_ in every], "log_prob": [x.log_p for _, _, x, _ in every], "perturbed": [x.value for _, _, x, _ in every],
+                    "inclusion": [-np.expm1(-np.exp(min(x.log_p - after, 700.0))) if np.isfinite(after) else 1.0 for _, _, x, after in every],
+                    "round_trip": [spelled[a:b] == raw[d] for (d, *_), a, b in zip(every, places[:-1].tolist(), places[1:].tolist(), strict=True)],
+                }
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(pieces.astype(np.int32)))
                 yield pa.record_batch(
                     {"doc_id": part.column("doc_id").take(pa.array(rows["at"], pa.int64())), "rank": pa.array(rows["rank"], pa.int32()), "pieces": lists}
                     | {c: rows[c] for c in ("log_prob", "perturbed", "inclusion", "round_trip")}
