@@ -19,9 +19,11 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """The folder in ``spark.checkpoint.dir``. Only where that is unset and the master is local, as in tests, a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='hedgerow-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -31,11 +33,22 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again, so that a lost executor repeats nothing before it."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
 
 
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote and nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def text_or_empty(name: str = "text", field: str | None = None) -> Column:
+    """The text, or that field of a struct, as a string; empty if it is null."""
+    own = F.col(name) if field is None else F.col(name).getField(field)
+    return F.coalesce(own.cast("string"), F.lit(""))
 
 
 def ascii_lower(c: Column) -> Column:
@@ -56,6 +69,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def window_hash(hashes: Column, start: Column, size: int) -> Column:
+    """Hash of the ``size`` elements from ``start`` on, counted from 1; element by element, as a slice costs more than the hash."""
+    return F.xxhash64(*[F.get(hashes, start + (k - 1)) for k in range(size)])
+
+
 def crc32_of_id(name: str = "doc_id") -> Column:
     """Unsigned CRC-32 of an id written as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary"))
