@@ -98,5 +98,21 @@ def test_tool_calls_odd(spark):
     assert got["b"]["problems"] == ["missing y", "not a string x"] and not got["b"]["valid"]
     assert got["c"]["n_missing"] == 1 and got["c"]["problems"] == ["arguments are no object"]
     assert '"arguments":{"a":[{"c":2,"d":1}],"b":1}' in got["d"]["json"]
-    assert tool_calls.link(df.where("false"), results, schemas).collect() == []
+    (lost,) = tool_calls.link(df.where("false"), results, schemas).collect()
+    assert lost["call_id"] == "a" and lost["n_calls"] == 0 and lost["problems"] == ["no call"] and lost["json"] == '{"arguments":null,"call_id":"a","name":null,"result":"ok"}'
+    assert tool_calls.link(df.where("false"), results.where("false"), schemas).collect() == []
+    turns = [(1, 0, "system", "s"), (1, 1, "user", None), (1, 2, "assistant", "a"), (1, 3, "user", "u"), (2, 5, "assistant", "lost"), (2, 6, "user", "v")]
+    found = {r["call_id"]: r for r in tool_calls.link_conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
+    assert {k: (r["level"], r["valid"], r["n_calls"], r["n_results"], r["n_missing"]) for k, r in found.items()} == {"1:0": (0, True, 1, 0, 0), "1:1": (0, False, 1, 1, 0), "1:3": (1, True, 1, 0, 0), "2:4": (None, False, 0, 1, 0), "2:6": (0, True, 1, 0, 1)}
     assert tool_calls.link_conversations(spark.createDataFrame([(None, 0, "user", "x"), (1, 0, "user", None), (1, 1, "assistant", None)], "conv_id long, turn long, role string, text string")).count() == 1
+
+
+def test_levels_of_calls(spark):
+    """A chain of 3,000 calls, a ladder of calls with two dependencies, a cycle, and calls behind each."""
+    rows = [(f"c{i}", [f"c{i - 1}"] if i else []) for i in range(3000)]
+    rows += [("l0", []), ("l1", ["l0"])] + [(f"l{i}", [f"l{i - 1}", f"l{i - 2}"]) for i in range(2, 6)]
+    rows += [("x", ["y"]), ("y", ["z"]), ("z", ["x"]), ("behind", ["x"]), ("waits", ["behind", "c5"]), ("both", ["c2999", "l5", "none"]), ("last", ["both"])]
+    calls = spark.createDataFrame([(1, k, "f", "{}", d) for k, d in rows], "conv_id long, call_id string, name string, arguments string, depends_on array<string>")
+    got = {r["call_id"]: (r["level"], r["n_missing"]) for r in tool_calls.link(calls, spark.createDataFrame([], "call_id string, content string")).collect()}
+    assert all(got[f"c{i}"] == (i, 0) for i in range(3000)) and [got[f"l{i}"][0] for i in range(6)] == list(range(6))
+    assert all(got[k] == (None, 0) for k in ("x", "y", "z", "behind", "waits")) and got["both"] == (3000, 1) and got["last"] == (3001, 0)
