@@ -9,12 +9,12 @@
    distinct texts: copies count once. A term discloses e if that reaches e's information content ``log2(N / n(e))`` divided by ALPHA.
 3. Every occurrence of such a term, in all texts, is a span too, of kind ``term``, unless an entity overlaps it. ``sanitised`` generalises entities to their kind and removes terms to a mark.
 
-Everything is DataFrame expressions. Word counts are shuffled by hash with partial sums. A term in too many texts to disclose an entity even if all
-of the entity's texts have it is left out before the two are paired. Terms meet their texts by the hash of the text;
-up to MAX_BROADCAST disclosing terms are broadcast, more are joined by a shuffle.
+Everything is DataFrame expressions. Word counts are shuffled by hash with partial sums. A term in too many texts to
+disclose an entity even if all of the entity's texts have it is left out before the two are paired. Up to MAX_BROADCAST disclosing terms are broadcast to the distinct words
+of all texts; more are joined by a shuffle. A text then gets its own disclosing words, by the hash of the text, and is searched for those.
 
-Nulls: a null text is empty; a null id is kept. Rows with the same text share their spans. An empty table gives an empty
-result. Extra columns are ignored by ``detect`` and kept by ``sanitised``.
+Nulls: a null text is empty; a null id is kept. Rows with the same text share their spans, so do repeated rows. Ties: spans are ordered by kind and start. An empty table
+gives an empty result. Long texts are read as a whole. Extra columns are ignored by ``detect`` and kept by ``sanitised``, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ KINDS = ("email", "ip", "card", "phone")
 ALPHA = 1.25
 SMOOTHING = 1.0
 MAX_BROADCAST = 1_000_000
-BLOCK = 512
+BLOCK = 64
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
@@ -84,9 +84,10 @@ def sums_before(lengths: Column) -> Column:
     return F.coalesce(let(lengths, of), F.array().cast("array<bigint>"))
 
 
-def matches_of(text: Column, pattern: str, accepted: Callable[[Column], Column] | None = None) -> Column:
+def matches_of(text: Column, pattern: Column | str, accepted: Callable[[Column], Column] | None = None) -> Column:
     """array<struct<start, end, value>> of the pattern's matches that are accepted; code points, end exclusive."""
-    both = F.struct(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("found"))
+    own = F.lit(pattern) if isinstance(pattern, str) else pattern
+    both = F.struct(F.split(text, own, -1).alias("between"), F.regexp_extract_all(text, own, 0).alias("found"))
 
     def of(x: Column) -> Column:
         steps = F.transform(x["found"], lambda m, k: (F.length(m) + F.length(F.get(x["between"], k))).cast("long"))
@@ -124,15 +125,27 @@ def _term_hash(w: Column) -> Column:
     return F.xxhash64(F.lower(w))
 
 
-def _in_texts(texts: DataFrame) -> DataFrame:
-    """(key, term): each text's distinct terms."""
-    return texts.select("key", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_TERM), 0), _term_hash))).alias("term"))
+def _terms(rows: DataFrame) -> DataFrame:
+    """(key, terms): the distinct terms of each row."""
+    return rows.select("key", F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_TERM), 0), _term_hash)).alias("terms"))
 
 
-def disclosing(own: DataFrame, texts: DataFrame) -> DataFrame:
-    """(term) of every disclosing term; ``own`` has the key and entities of all rows, ``texts`` the key and text of each distinct one."""
-    n = float(max(texts.count(), 1))
-    in_corpus = cut(_in_texts(texts).groupBy("term").agg(F.count("*").alias("n_term")), "pii-terms")
+def _bounded(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else table
+
+
+def counted_terms(own: DataFrame, rows: DataFrame) -> DataFrame:
+    """(term, n_term): the distinct texts with each term. All rows are counted, and then the copies taken off, so that no text is shuffled."""
+    copied = cut(own.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1"), "pii-copied")
+    every = _terms(rows).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    again = _terms(rows.join(_bounded(copied), "key")).join(copied, "key").groupBy("key").agg(F.first("terms").alias("terms"), F.first("copies").alias("copies"))
+    more = again.select(F.explode("terms").alias("term"), "copies").groupBy("term").agg(F.sum(F.col("copies") - 1).alias("more"))
+    return every.join(more, "term", "left").select("term", (F.col("n") - F.coalesce("more", F.lit(0))).alias("n_term"))
+
+
+def disclosing(own: DataFrame, rows: DataFrame) -> DataFrame:
+    """(term) of every disclosing term; ``own`` has the key and entities of all rows, ``rows`` their key and text."""
+    n = float(max(own.select("key").distinct().count(), 1))
     found = own.where(F.size("entities") > 0).dropDuplicates(["key"])
     values = F.array_distinct(F.transform("entities", lambda e: F.xxhash64(e["kind"], ascii_lower(e["value"]))))
     kinds = F.array_distinct(F.transform("entities", lambda e: F.xxhash64(e["kind"])))
@@ -145,8 +158,11 @@ def disclosing(own: DataFrame, texts: DataFrame) -> DataFrame:
     per_entity = cut(per_entity.where(F.col("n_entity") < n).withColumn("limit", limit * (1 + 1e-9)), "pii-protected")
     aims = cut(protected.join(per_entity, "entity").groupBy("key", "kind").agg(F.max("limit").alias("most"), F.collect_list(F.struct("entity", "limit")).alias("aims")), "pii-aims")
     most = aims.agg(F.max("most")).first()[0]
-    candidates = in_corpus.where(F.col("n_term") <= F.lit(most if most is not None else 0.0))
-    terms = _in_texts(texts.join(aims.select("key").distinct(), "key", "left_semi")).join(candidates, "term")
+    if most is None:
+        return own.select(F.col("key").alias("term")).where(F.lit(False))
+    candidates = counted_terms(own, rows).where(F.col("n_term") <= F.lit(most))
+    of_texts = _terms(rows.join(_bounded(aims.select("key").distinct()), "key", "left_semi")).groupBy("key").agg(F.first("terms").alias("terms"))
+    terms = of_texts.select("key", F.explode("terms").alias("term")).join(candidates, "term")
     aimed = terms.join(aims, "key").where(F.col("n_term") <= F.col("most"))
     aimed = aimed.select("term", "n_term", F.explode(F.filter("aims", lambda e: F.col("n_term") <= e["limit"])).alias("e"))
     shared = aimed.groupBy(F.col("e.entity").alias("entity"), "term", "n_term").agg(F.count("*").alias("n_both")).join(per_entity, "entity")
@@ -159,15 +175,15 @@ def found_in(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Every row's (doc_id, key, entities), and (key, terms): the disclosing terms' spans of the texts that have some."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("key", _key(F.col("text")))
     own = cut(rows.select("doc_id", "key", entities_of(F.col("text")).alias("entities")), "pii-entities")
-    texts = cut(rows.select("key", "text").dropDuplicates(["key"]), "pii-texts")
-    told = cut(disclosing(own, texts), "pii-disclosing")
+    told = cut(disclosing(own, rows), "pii-disclosing")
     if told.isEmpty():
         return own, own.select("key", F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("terms")).where(F.lit(False))
-    if told.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
-        told = F.broadcast(told)
-    marked = cut(_in_texts(texts).join(told, "term", "left_semi").groupBy("key").agg(F.collect_list("term").alias("marked")), "pii-marked")
-    places = F.filter(matches_of(F.col("text"), _TERM), lambda w: F.array_contains("marked", _term_hash(w["value"])))
-    return own, texts.join(marked, "key").select("key", F.transform(places, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"))).alias("terms"))
+    words = rows.select("key", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_TERM), 0))).alias("word")).withColumn("term", _term_hash(F.col("word")))
+    marked = cut(words.join(_bounded(told), "term", "left_semi").groupBy("key").agg(F.collect_set("word").alias("words")), "pii-marked")
+    # the words are letters only, so nothing in the pattern has to be quoted
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("words", "|"), F.lit(r")(?!\p{L})"))
+    placed = F.transform(matches_of(F.col("text"), pattern), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end")))
+    return own, cut(rows.join(marked, "key").select("key", placed.alias("terms")).groupBy("key").agg(F.first("terms").alias("terms")), "pii-places")
 
 
 def _spans(own: DataFrame, terms: DataFrame) -> DataFrame:
@@ -194,8 +210,9 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     found = _spans(*found_in(docs.select(id_col, text_col), id_col, text_col)).dropDuplicates(["key"])
     entity = F.transform("entities", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), F.concat(F.lit("["), F.upper(e["kind"]), F.lit("]")).alias("mark")))
     term = F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lit("[...]").alias("mark")))
-    found = found.select(F.col("key").alias("__key"), F.sort_array(F.concat(entity, term)).alias("__marks")).where(F.size("__marks") > 0)
-    text = F.col(text_col)
+    found = found.select("key", F.sort_array(F.concat(entity, term)).alias("marks")).where(F.size("marks") > 0)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{text_col}`").alias("text"), _key(text_or_empty(text_col)).alias("key"))
+    text = F.col("text")
 
     def rewritten(marks: Column) -> Column:
         """Overlapping entities: the one that begins first stands, and the others are part of it."""
@@ -207,6 +224,6 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
         return F.aggregate(marks, first, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
 
-    joined = docs.withColumn("__key", _key(text_or_empty(text_col))).join(found, "__key", "left")
-    new = F.when(F.col("__marks").isNull(), text).otherwise(rewritten(F.col("__marks")))
-    return joined.withColumn("__new", new).withColumn(text_col, F.col("__new")).select(*[f"`{c}`" for c in docs.columns])
+    new = F.when(F.col("marks").isNull(), text).otherwise(rewritten(F.col("marks")))
+    joined = packed.join(found, "key", "left").withColumn("new", new)
+    return joined.select(*[F.col("new").alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in docs.columns])
