@@ -8,12 +8,15 @@
   features of the word and the pair of classes one further back. They start from the counted priors, so that a model without
   training is the unigram model.
 
-Training is distributed: every partition makes sparse AdaGrad updates over all its texts, and the weights meet, weighted by
-the updates of each row, in two shuffled steps. Word counts cover all training texts and are shuffled by word. What is sent
+Training is distributed, in ROUNDS synchronised rounds; a hash of the text says in which round it is learned from. In each, every partition starts from the shared weights and
+makes sparse AdaGrad updates over its texts of the round; then the changes meet in a tree of shuffled steps, of FAN_IN partitions at a time. The changes of a row that partitions have seen a few times each add up; those
+of a row that each has seen often enough to know its weights by itself are averaged (TRUST). So rare features use the whole corpus. The model still depends on
+the split into partitions, less with each round. Word counts cover all training texts and are shuffled by word. What is sent
 to every executor is bounded: the weights, and the words with a frequency of at least ``1 / MAX_COMMON`` (at most MAX_COMMON).
-The counts of rarer words reach the texts by a join on the word's 64-bit hash; by definition none of them is hot.
+The counts of rarer words reach the texts by a join on the word's 64-bit hash, an outer join that adaptive execution can split: a word that only held-out texts
+have is not counted and may be frequent there. A class has SLOTS - 1 words with a softmax slot of their own; the others share the last slot by their counts.
 
-Nulls: a null text is an empty one, a null id is the id '' for the split. Repeated rows and ids are scored each. An empty
+Nulls: a null text is an empty one, a null id is the id '' for the split. Repeated rows and ids are scored each, ties alike. Long texts are scored as a whole. An empty
 table gives an empty result; without a training text every count is zero. Extra columns are ignored.
 """
 
@@ -42,6 +45,12 @@ BATCH = 8192
 RATE = 0.12
 BOUND = 12.0
 BLOCK = 1024
+ROUNDS = 2
+FAN_IN = 64
+#: Visits of a row after which a partition half trusts its own weights.
+TRUST = 64.0
+#: Bytes of a word that is hashed by XXH64; long words can be made to collide in the polynomial hash.
+LONG_WORD = 64
 FLOOR = 0.5
 
 _ROWS1 = 2 * WORD_ROWS + 2 * CLASSES * CLASSES
@@ -60,6 +69,8 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     starts, ends, words = word_ranges(~IS_SPACE[data], offsets)
     own = RangeHash(data).of(starts, ends) | np.uint64(1)
     sizes = ends - starts
+    for i in np.flatnonzero(sizes > LONG_WORD):
+        own[i] = np.uint64(xxhash.xxh64_intdigest(LOWER[data[starts[i] : ends[i]]], 11) | 1)
     code = np.zeros(len(own), np.uint32)
     for back in range(1, 4):
         code = code * np.uint32(257) + np.where(sizes >= back, LOWER[data[ends - np.minimum(back, sizes)]], np.uint8(0))
@@ -149,9 +160,9 @@ class Trainer:
     The expected step is the gradient of the log-likelihood, and it touches two weights for each feature, not a whole row.
     """
 
-    def __init__(self, shape: tuple[int, int]):
-        self.table, self.visits = np.zeros(shape, np.float32), np.zeros(shape[0], np.float32)
-        self.seen = np.full(shape[0] * shape[1], 1e-3, np.float32)
+    def __init__(self, start: np.ndarray, seen: float):
+        self.table, self.visits = start.copy(), np.zeros(len(start), np.float32)
+        self.seen = np.full(start.size, seen, np.float32)
         self.random = np.random.Generator(np.random.PCG64(3))
 
     def step(self, rows: np.ndarray, prior: np.ndarray, outcome: np.ndarray) -> None:
@@ -217,53 +228,61 @@ def _parts(n: int) -> Iterator[slice]:
         yield slice(i, min(n, i + BATCH))
 
 
-def train(texts: DataFrame, lexicon) -> Weights:
-    """Weights learned from ``texts`` (a column ``text`` without nulls); ``lexicon`` is a broadcast Lexicon."""
+def _meet(rows: pd.DataFrame) -> pd.DataFrame:
+    """The summed changes of a block, and how far the partitions trust their own."""
+    trust = changes = 0
+    for w, n in zip(rows["changes"], rows["trust"], strict=True):
+        own = np.frombuffer(n, np.float32)
+        trust = trust + own
+        changes = changes + np.frombuffer(w, np.float16 if rows["who"].iloc[0] >= 0 else np.float32).astype(np.float32).reshape(len(own), -1)
+    return pd.DataFrame({"block": [rows["block"].iloc[0]], "who": [-1], "group": [rows["group"].iloc[0] // FAN_IN], "changes": [changes.tobytes()], "trust": [np.float32(trust).tobytes()]})
+
 
-    def own_updates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = lexicon.value
-        models = Trainer((_ROWS1, CLASSES)), Trainer((_ROWS2, SLOTS))
-        for _, data, offsets in byte_chunks(batches, "text"):
-            hashes, classes, lengths = tokens_of(data, offsets)
-            f1, f2 = features_of(hashes, classes, lengths)
-            slots = lex.slot_of(*lex.look_up(hashes))
-            models[0].visited(f1)
-            models[1].visited(f2)
-            for s in _parts(len(hashes)):
-                models[0].step(f1[:, s], lex.prior1, classes[s])
-                models[1].step(f2[:, s], lex.prior2[classes[s]], slots[s])
-        if not models[0].visits.any():
-            return
-        blocks, weights, visits = [], [], []
-        for kind, m in enumerate(models):
-            for b in range(0, len(m.table), BLOCK):
-                blocks.append(kind << 20 | b // BLOCK)
-                weights.append(m.table[b : b + BLOCK].clip(-BOUND, BOUND).astype(np.float16).tobytes())
-                visits.append(m.visits[b : b + BLOCK].tobytes())
-        who = TaskContext.get().partitionId()
-        yield pa.record_batch({"block": blocks, "who": [who % 64] * len(blocks), "weights": weights, "visits": visits})
-
-    def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        total = weighted = 0
-        for w, n in zip(rows["weights"], rows["visits"], strict=True):
-            own = np.frombuffer(n, np.float32)
-            total = total + own
-            weighted = weighted + own[:, None] * np.frombuffer(w, np.float16).reshape(len(own), -1)
-        mean = (weighted / np.maximum(total, 1)[:, None]).astype(np.float16)
-        return pd.DataFrame({"block": [rows["block"].iloc[0]], "who": [0], "weights": [mean.tobytes()], "visits": [np.float32(total).tobytes()]})
-
-    shape = "block long, who long, weights binary, visits binary"
-    found = texts.select("text").mapInArrow(own_updates, shape)
-    found = found.groupBy("block", "who").applyInPandas(meet, shape).groupBy("block").applyInPandas(meet, shape)
-    out = Weights.zero()
-    for r in found.select("block", "weights").collect():
-        table = (out.class_rows, out.slot_rows)[r["block"] >> 20]
-        b = (r["block"] & 0xFFFFF) * BLOCK
-        own = table[b : b + BLOCK]
-        own[:] = np.frombuffer(r["weights"], np.float16).reshape(own.shape)
+def train(texts: DataFrame, lexicon, rounds: int = ROUNDS) -> Weights:
+    """Weights learned from ``texts`` (a column ``text`` without nulls); ``lexicon`` is a broadcast Lexicon."""
+    spark, out = texts.sparkSession, Weights.zero()
+    shape = "block long, who long, group long, changes binary, trust binary"
+    for r in range(rounds):
+        shared = spark.sparkContext.broadcast(out)
+        own = texts.select("text").where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == r)
+        found = own.mapInArrow(lambda x, shared=shared, r=r: _updates(x, lexicon.value, shared.value, 1e-3 if r == 0 else 8.0), shape)
+        for _ in range(3):  # FAN_IN partitions, blocks of FAN_IN of those, and all of these
+            found = found.groupBy("block", "group").applyInPandas(_meet, shape)
+        found = found.groupBy("block").applyInPandas(_meet, shape)
+        new = Weights(out.class_rows.copy(), out.slot_rows.copy())
+        for row in found.select("block", "changes", "trust").collect():
+            table = (new.class_rows, new.slot_rows)[row["block"] >> 20]
+            b = (row["block"] & 0xFFFFF) * BLOCK
+            own = table[b : b + BLOCK]
+            own += np.frombuffer(row["changes"], np.float32).reshape(own.shape) / np.maximum(np.frombuffer(row["trust"], np.float32), 1)[:, None]
+            np.clip(own, -BOUND, BOUND, out=own)
+        out = new
+        shared.unpersist()
     return out
 
 
+def _updates(batches: Iterator[pa.RecordBatch], lex: Lexicon, start: Weights, seen: float) -> Iterator[pa.RecordBatch]:
+    """What a partition's texts change in each block of rows that they visit."""
+    tables = (start.class_rows, start.slot_rows)
+    models = [Trainer(t, seen) for t in tables]
+    for _, data, offsets in byte_chunks(batches, "text"):
+        hashes, classes, lengths = tokens_of(data, offsets)
+        f1, f2 = features_of(hashes, classes, lengths)
+        slots = lex.slot_of(*lex.look_up(hashes))
+        models[0].visited(f1)
+        models[1].visited(f2)
+        for s in _parts(len(hashes)):
+            models[0].step(f1[:, s], lex.prior1, classes[s])
+            models[1].step(f2[:, s], lex.prior2[classes[s]], slots[s])
+    who = TaskContext.get().partitionId()
+    for kind, (m, t) in enumerate(zip(models, tables, strict=True)):
+        for b in range(0, len(t), BLOCK):
+            visits = m.visits[b : b + BLOCK]
+            if visits.any():
+                changes = (m.table[b : b + BLOCK] - t[b : b + BLOCK]).clip(-BOUND, BOUND).astype(np.float16)
+                yield pa.record_batch({"block": [kind << 20 | b // BLOCK], "who": [who], "group": [who // FAN_IN], "changes": [changes.tobytes()], "trust": [(visits / (visits + np.float32(TRUST))).tobytes()]})
+
+
 def _scored(data: np.ndarray, offsets: np.ndarray, lex: Lexicon, weights: Weights) -> tuple[np.ndarray, ...]:
     """For each text: tokens, known common tokens, base and model sums (log10) without the rarer words' counts, and those words."""
     hashes, classes, lengths = tokens_of(data, offsets)
