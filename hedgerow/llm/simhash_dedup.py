@@ -6,11 +6,11 @@
    ``radius + 1`` blocks of bits, so a shard is a block and its value: Hamming distance zero in that block. Each fingerprint
    goes to every shard it touches, which makes the boundaries overlap. A shard with over ``LEAF`` members is dealt again on
    the bits that its block leaves over, as often as needed; all of its members then agree in more bits, so the parts shrink.
-4. In a shard, a vantage-point tree holds the fingerprints: a node splits the others at the median distance from its vantage
-   point, and a search enters a branch only if the triangle inequality allows a point within ``radius`` there. A shard gives
+4. In every shard a vantage-point tree finds the near pairs (``vantage``): a node splits the others at the median distance from its vantage
+   point, and of the pairs across the middle only those in the overlap that the triangle inequality leaves are compared. A shard gives
    the links of a spanning forest of its near pairs, so that a group of n copies has fewer than n links.
-5. Components come from the links by rounds of label propagation with pointer jumping over shuffled tables, cut in the
-   shared folder; no links, fingerprints or components are collected.
+5. Components come from the links, up to ONE_TASK of them in one task, more by rounds of label propagation with pointer jumping over shuffled tables, cut in the
+   shared folder; no links, fingerprints or components are collected on the driver.
 
 Nulls: a null text is an empty one; texts without words have fingerprint zero and are linked like any others. Rows with a
 null id are returned without a component unless ids share the class. Repeated rows share a component. An empty table gives
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import functools
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +29,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hedgerow.llm.common import cut, text_chunks, text_or_empty
+from hedgerow.llm.common import cut, discard, text_chunks, text_or_empty
+from hedgerow.llm.vantage import Forest, near_pairs
 
 SHINGLE = 4
 RADIUS = 4
 LEAF = 2048
 SEED = 42
-#: Below this many points a node is compared in full; numpy does that faster than another branch.
-TREE_LEAF = 96
+#: Links that one task joins; more are joined by label propagation.
+ONE_TASK = 1_000_000
 
 _LANES = (1 << np.arange(64, dtype=np.uint64)).astype(np.uint64)
 
@@ -85,80 +86,6 @@ def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(own, f"doc_id {id_type}, fp long")
 
 
-class VantageTree:
-    """Points of a Hamming space in a vantage-point tree; nodes are tuples, leaves arrays of places."""
-
-    def __init__(self, points: np.ndarray):
-        self.points = points
-        self.root = self._node(np.arange(len(points)))
-
-    def _node(self, at: np.ndarray):
-        if len(at) <= TREE_LEAF:
-            return at
-        vantage, rest = at[0], at[1:]
-        d = np.bitwise_count(self.points[rest] ^ self.points[vantage]).astype(np.int16)
-        mid = int(np.median(d))
-        near = d <= mid
-        if near.all():
-            near = d < mid
-            mid -= 1
-            if not near.any():
-                return at
-        return (vantage, mid, self._node(rest[near]), self._node(rest[~near]))
-
-    def pairs(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """All pairs within ``radius``, each at least once, in parts."""
-        yield from self._search(self.root, np.arange(len(self.points)), radius)
-
-    def _search(self, node, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if not len(queries):
-            return
-        if isinstance(node, np.ndarray):
-            for i in range(0, len(queries), 4096):
-                own = queries[i : i + 4096]
-                q, p = np.nonzero(np.bitwise_count(self.points[own][:, None] ^ self.points[node][None, :]) <= radius)
-                a, b = own[q], node[p]
-                yield a[a < b], b[a < b]
-            return
-        vantage, mid, near, far = node
-        d = np.bitwise_count(self.points[queries] ^ self.points[vantage]).astype(np.int16)
-        hit = queries[(d <= radius) & (queries != vantage)]
-        yield hit, np.full(len(hit), vantage)
-        # a point p within the radius of q has d(q, v) - radius <= d(p, v) <= d(q, v) + radius
-        yield from self._search(near, queries[d - radius <= mid], radius)
-        yield from self._search(far, queries[d + radius > mid], radius)
-
-
-def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest of the graph of ``pairs`` on n places, as two arrays of places."""
-    parent = np.arange(n)
-    for a, b in pairs:
-        while len(a):  # hook the larger root to the smaller, then shorten all paths
-            ra, rb = parent[a], parent[b]
-            differ = ra != rb
-            a, b, ra, rb = a[differ], b[differ], ra[differ], rb[differ]
-            np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
-            while (parent[parent] != parent).any():
-                parent = parent[parent]
-    own = np.flatnonzero(parent != np.arange(n))
-    return own, parent[own]
-
-
-def near_pairs(points: np.ndarray, firsts: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of places within ``radius`` in the same shard. Shards are runs of ``points``; ``firsts`` has where each begins."""
-    sizes = np.diff(np.r_[firsts, len(points)])
-    room = np.repeat(np.where(sizes <= TREE_LEAF, firsts + sizes, 0), sizes) - np.arange(len(points))  # places left in a small shard
-    live, apart = np.flatnonzero(room > 1), 1
-    while len(live):
-        hit = live[np.bitwise_count(points[live] ^ points[live + apart]) <= radius]
-        yield hit, hit + apart
-        apart += 1
-        live = live[room[live] > apart]
-    for k in np.flatnonzero(sizes > TREE_LEAF):
-        for a, b in VantageTree(points[firsts[k] : firsts[k] + sizes[k]]).pairs(radius):
-            yield a + firsts[k], b + firsts[k]
-
-
 def _shard_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Links of the shards in a sorted partition; a shard that goes on in the next batch waits for it."""
     waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -169,7 +96,10 @@ def _shard_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.
         stop = len(fp) if last or not len(firsts) else firsts[-1]
         waiting[:] = [(path[stop:], value[stop:], fp[stop:])]
         if stop:
-            a, b = spanning(stop, near_pairs(fp[:stop], firsts[firsts < stop], radius))
+            forest = Forest(stop)
+            for a, b, _ in near_pairs(fp[:stop, None], firsts[firsts < stop], radius, forest):
+                forest.join(a, b)
+            a, b = forest.links()
             yield pa.record_batch({"a": fp[a].view(np.int64), "b": fp[b].view(np.int64)})
 
     for batch in batches:
@@ -223,18 +153,42 @@ def links_of(distinct: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> Dat
 def components(links: DataFrame, names: DataFrame) -> DataFrame:
     """(fp, component): the smallest name reachable from each fingerprint. ``names`` has fp and name, one row for each fp.
 
-    Every round gives each linked fingerprint the smallest label around it, and then the label of its label's holder.
+    Up to ONE_TASK links are joined in one task. More take rounds of label propagation over shuffled tables: every round
+    gives each linked fingerprint the smallest label around it, and then the label of its label's holder.
     """
+    links = cut(links.distinct(), "links")
+    if links.limit(ONE_TASK + 1).count() <= ONE_TASK:
+        roots = cut(links.coalesce(1).mapInArrow(_rooted, "fp long, root long"), "roots")
+        named = roots.join(names.select("fp", "name"), "fp")
+        return roots.join(named.groupBy("root").agg(F.min("name").alias("component")), "root").select("fp", "component")
+    return _propagated(links, names)
+
+
+def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fp, root) of every fingerprint of the links, root being a fingerprint of its component."""
+    every = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+    if every:
+        a, b = (np.concatenate(x) for x in zip(*every, strict=True))
+        found, at = np.unique(np.r_[a, b], return_inverse=True)
+        forest = Forest(len(found))
+        forest.join(at[: len(a)], at[len(a) :])
+        yield pa.record_batch({"fp": found, "root": found[forest.root]})
+
+
+def _propagated(links: DataFrame, names: DataFrame) -> DataFrame:
+    """``components`` by label propagation."""
     both = cut(links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = cut(names.select("fp", "name", F.col("name").alias("label")).join(both.select(F.col("a").alias("fp")).distinct(), "fp", "left_semi"), "labels")
     while True:
         around = both.join(labels.select(F.col("fp").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(around, labels["fp"] == around["a"], "left").select("fp", "name", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        step = labels.join(around, F.col("fp") == F.col("a"), "left").select("fp", "name", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jumped = step.alias("s").join(step.select(F.col("name").alias("label"), F.col("label").alias("beyond")).alias("t"), "label", "left")
         new = cut(jumped.select("fp", "name", "old", F.least("label", "beyond").alias("label")), "labels")
-        moved = new.where(F.col("old") != F.col("label")).limit(1).count()
-        labels = new.select("fp", "name", "label")
-        if not moved:
+        done = new.where(F.col("old") != F.col("label")).isEmpty()
+        discard(labels)
+        labels = new
+        if done:
+            discard(both)
             return labels.select("fp", F.col("label").alias("component"))
 
 
@@ -250,8 +204,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """Of each component the row with the smallest id, as it is; of rows with that id one. Null ids come last."""
-    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")  # a row's number stands once it is written
-    found = near_duplicates(rows, "__row", text_col, shingle, radius).select(F.col("doc_id").alias("__row"), "component_id")
-    first = F.min(F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col("__row").alias("row")))
-    kept = rows.select(id_col, "__row").join(found, "__row").groupBy("component_id").agg(first.alias("x")).select(F.col("x.row").alias("__row"))
-    return rows.join(kept, "__row", "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    return smallest_of_each(docs, lambda rows: near_duplicates(rows, "row", "text", shingle, radius).select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")), id_col, text_col)
+
+
+def smallest_of_each(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame], id_col: str, text_col: str) -> DataFrame:
+    """Of each group the row with the smallest id; ``grouped`` gives (row, component) of (row, text). A row's columns are kept apart, so no name clashes."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row"))
+    rows = cut(packed, "numbered")  # a row's number stands once it is written
+    found = grouped(rows.select("row", text_or_empty("doc", text_col).alias("text")))
+    own = rows.select("row", F.col("doc").getField(id_col).alias("id")).join(found, "row")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+    kept = own.groupBy("component").agg(first.alias("x")).select("x.row")
+    return rows.join(kept, "row", "left_semi").select("doc.*")

@@ -1,19 +1,21 @@
-"""Near-duplicates of a given Jaccard similarity, by wide SimHash fingerprints and an exact check.
+"""Near-duplicates of a given Jaccard similarity, by wide SimHash fingerprints, vantage-point trees and an exact check.
 
 A text's fingerprint has WORDS * 64 bits over its distinct shingles: the share of differing bits estimates the angle between the
 shingle sets, and so their Jaccard similarity, to a few hundredths.
 
 1. Texts with the same shingles are one class.
-2. Classes are dealt into shards by bands of BAND bits: shards are balls of radius 0 in a band, and a class goes to all that it
-   touches. At a similarity of 0.8 a pair shares one of the bands with a probability of 0.97, at 0.85 of 0.997.
-3. In a large shard, a vantage point orders the members by their distance from it, and only pairs within the radius of each other in
-   that order are compared: the triangle inequality excludes the others.
-4. Pairs that are clearly similar (two standard deviations inside the radius) are linked, by a spanning forest for each shard.
-   For the pairs within two standard deviations of the radius the exact similarity of the texts decides, in rounds: of the pairs between
-   two components FIRST_CHECKS are checked, then GROWTH times as many in each round, until they are joined or no pair is left.
-   Components are joined by label propagation over shuffled tables.
-
-Single links make a group, as with the narrow fingerprints. Nulls are empty texts; texts without words are one class.
+2. Classes are dealt into shards by bands: shards are balls of radius 0 around a band's value, and a class goes to all that it touches. A band has
+   MIN_BAND bits, more for many classes, so that shards stay small; there are as many bands as let a pair of the given similarity
+   share one with a probability of RECALL.
+3. In every shard a vantage-point tree (``vantage``) finds the pairs that differ by ``far`` bits at most, DEVIATIONS standard deviations
+   more than a pair of the given similarity has on average. Pairs of DEVIATIONS fewer are clear: they are linked, by a spanning forest
+   for each shard. The members of the other, doubtful pairs are told, if the shard's clear links don't join them.
+4. For doubtful pairs between the components of the clear links the exact similarity decides. The members of doubtful pairs go to their shards again, with
+   their shingles. A pair belongs to the first shard that both share, and is checked there unless the links found so far in the shard join its members, so
+   that a group of n near copies needs about n checks in a shard, not n * n; only links leave a shard. No pair is left out.
+
+Single links make a group. Nulls are empty texts; texts without words are one class. Repeated rows are in one group. Empty tables give empty results.
+Long texts are one fingerprint like any other. Extra columns may have any names.
 """
 
 from __future__ import annotations
@@ -24,21 +26,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hedgerow.llm.common import cut, text_chunks, text_or_empty
+from hedgerow.llm.common import cut, discard, text_chunks
 from hedgerow.llm.rolling import mixed
-from hedgerow.llm.simhash_dedup import components, spanning
+from hedgerow.llm.simhash_dedup import components, smallest_of_each
+from hedgerow.llm.vantage import Forest, near_pairs
 
 WORDS = 8
 BITS = 64 * WORDS
-BAND = 14
-BANDS = BITS // BAND
-SMALL = 96
-FIRST_CHECKS = 4
-GROWTH = 8
+MIN_BAND = 14
+#: Classes that a shard has on average, as a power of two, before bands get wider.
+CROWD = 10
+RECALL = 0.99
+DEVIATIONS = 3
 ROWS = 64
+MAX_BROADCAST = 1_000_000
 
 
 def shingles_of(text: bytes, size: int) -> np.ndarray:
@@ -64,86 +68,117 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def radii(similarity: float) -> tuple[int, int]:
-    """Differing bits up to which a pair is clearly similar, and beyond which it clearly is not."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+def _share(similarity: float) -> float:
+    """Differing bits of a pair of this Jaccard similarity, on average, as a share."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def radii(similarity: float) -> tuple[int, int, int]:
+    """Differing bits up to which a pair is clearly similar, beyond which it clearly is not, and the latter for the first word alone."""
+    share = _share(similarity)
     deviation = math.sqrt(BITS * share * (1 - share))
-    return int(BITS * share - 2 * deviation), int(BITS * share + 2 * deviation)
-
-
-def near_pairs(points: np.ndarray, firsts: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(a, b, distance) of places within ``radius`` in the same shard; shards are runs that begin at ``firsts``."""
-    sizes = np.diff(np.r_[firsts, len(points)])
-    room = np.repeat(np.where(sizes <= SMALL, firsts + sizes, 0), sizes) - np.arange(len(points))
-    live, apart = np.flatnonzero(room > 1), 1
-    while len(live):
-        d = np.bitwise_count(points[live] ^ points[live + apart]).sum(axis=1, dtype=np.int32)
-        hit = d <= radius
-        yield live[hit], live[hit] + apart, d[hit]
-        apart += 1
-        live = live[room[live] > apart]
-    for k in np.flatnonzero(sizes > SMALL):
-        own = points[firsts[k] : firsts[k] + sizes[k]]
-        away = np.bitwise_count(own ^ own[0]).sum(axis=1, dtype=np.int32)
-        order = np.argsort(away, kind="stable")
-        away, own = away[order], own[order]
-        for i in range(0, len(own), ROWS):
-            stop = int(np.searchsorted(away, away[min(i + ROWS, len(own)) - 1] + radius, side="right"))
-            d = np.bitwise_count(own[i : i + ROWS, None, :] ^ own[None, i:stop, :]).sum(axis=2, dtype=np.int32)
-            a, b = np.nonzero(d <= radius)
-            later = b > a
-            a, b = a[later], b[later]
-            yield firsts[k] + order[a + i], firsts[k] + order[b + i], d[a, b]
-
-
-def _shard_links(batches: Iterator[pa.RecordBatch], near: int, far: int) -> Iterator[pa.RecordBatch]:
-    """(a, b, distance): a spanning forest of the clear links of each shard, and its doubtful pairs between components."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def found(shard: np.ndarray, fp: np.ndarray, points: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
-        firsts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else np.zeros(0, np.int64)
-        stop = len(fp) if last or not len(firsts) else int(firsts[-1])
-        held[:] = [(shard[stop:], fp[stop:], points[stop:])]
-        if not stop:
-            return
-        doubtful: list[tuple[np.ndarray, ...]] = []
-
-        def clear() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for a, b, d in near_pairs(points[:stop], firsts[firsts < stop], far):
-                doubtful.append((a[d > near], b[d > near]))
-                yield a[d <= near], b[d <= near]
-
-        a, b = spanning(stop, clear())
-        root = np.arange(stop)
-        root[a] = b
-        x, y = (np.concatenate(v) for v in zip(*doubtful, strict=True)) if doubtful else (np.zeros(0, np.int64),) * 2
-        rx, ry = root[x], root[y]
-        first = np.flatnonzero(rx != ry)
-        yield pa.record_batch({"a": np.r_[fp[a], np.minimum(fp[x[first]], fp[y[first]])], "b": np.r_[fp[b], np.maximum(fp[x[first]], fp[y[first]])], "clear": np.r_[np.ones(len(a), bool), np.zeros(len(first), bool)]})
+    first = 64 * share + 5 * math.sqrt(64 * share * (1 - share))
+    return max(0, int(BITS * share - DEVIATIONS * deviation)), int(BITS * share + DEVIATIONS * deviation), int(first)
 
-    for batch in batches:
-        own = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "fp")]
-        held.append((own[0], own[1], np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, WORDS)))
-        if sum(len(h[0]) for h in held) >= 1 << 15:
-            yield from found(*(np.concatenate(v) for v in zip(*held, strict=True)), last=False)
-    if held:
-        yield from found(*(np.concatenate(v) for v in zip(*held, strict=True)), last=True)
+
+def bands_of(classes: int, similarity: float) -> np.ndarray:
+    """The bits of each band, bands x bits; bands take their bits in turn from permutations of all bits."""
+    width = max(MIN_BAND, math.ceil(math.log2(max(classes, 2))) - CROWD)
+    n = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - _share(similarity)) ** width)) if similarity < 1 else 1
+    random = np.random.Generator(np.random.PCG64(17))
+    fit = BITS // width
+    return np.concatenate([random.permutation(BITS)[: fit * width].reshape(fit, width) for _ in range(-(-n // fit))])[:n]
 
 
-def _verified(batches: Iterator[pa.RecordBatch], similarity: float, shingle: int) -> Iterator[pa.RecordBatch]:
+def band_values(points: np.ndarray, bands: np.ndarray) -> np.ndarray:
+    """The value of each band of each point, points x bands."""
+    n, width = bands.shape
+    bits = np.unpackbits(points.view(np.uint8).reshape(len(points), -1), axis=1, bitorder="little")
+    return bits[:, bands.ravel()].reshape(len(points), n, width) @ (1 << np.arange(width))
+
+
+def _whole_shards(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], size: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns of about ``size`` rows at a time, and the bits as n x WORDS; a shard is never in two parts. The batches are sorted by shard."""
+    held: list[tuple[np.ndarray, ...]] = []
+    n = 0
     for batch in batches:
-        good = []
-        for x, y in zip(batch.column("x").cast(pa.binary()).to_pylist(), batch.column("y").cast(pa.binary()).to_pylist(), strict=True):
-            a, b = shingles_of(x, shingle), shingles_of(y, shingle)
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            good.append(both >= similarity * (len(a) + len(b) - both))
-        mask = pa.array(good, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "b")], names=["a", "b"])
+        own = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in columns)
+        held.append((*own, np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, WORDS)))
+        n += len(batch)
+        if n >= size:
+            every = tuple(np.concatenate(v) for v in zip(*held, strict=True))
+            last = int(np.searchsorted(every[0], every[0][-1]))
+            held, n = [tuple(v[last:] for v in every)], n - last
+            if last:
+                yield tuple(v[:last] for v in every)
+    if n:
+        yield tuple(np.concatenate(v) for v in zip(*held, strict=True))
+
+
+_FOUND = "a long, b long, shard long, bits binary"
+
+
+def _clear_links(batches: Iterator[pa.RecordBatch], near: int, far: int, first: int) -> Iterator[pa.RecordBatch]:
+    """(a, b) of a spanning forest of each shard's clear links, and (a, shard, bits) of the members of doubtful pairs between its components."""
+    for shard, fp, points in _whole_shards(batches, ("shard", "fp"), 1 << 15):
+        forest, told = Forest(len(fp)), np.zeros(len(fp), bool)
+        firsts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+        for a, b, d in near_pairs(points, firsts, far, forest, first):
+            forest.join(a[d <= near], b[d <= near])
+            apart = forest.root[a] != forest.root[b]
+            told[a[apart]] = told[b[apart]] = True
+        a, b = forest.links()
+        who = np.flatnonzero(told)
+        nothing = pa.nulls(len(a), pa.int64())
+        yield pa.record_batch({"a": fp[a], "b": fp[b], "shard": nothing, "bits": pa.nulls(len(a), pa.binary())}, schema=_schema())
+        yield pa.record_batch({"a": fp[who], "b": pa.nulls(len(who), pa.int64()), "shard": shard[who], "bits": [x.tobytes() for x in points[who]]}, schema=_schema())
+
+
+def _schema() -> pa.Schema:
+    return pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shard", pa.int64()), ("bits", pa.binary())])
+
+
+def _checked_links(batches: Iterator[pa.RecordBatch], far: int, similarity: float, bands: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(a, b) of components by the clear links (own) that a pair within ``far`` of the given similarity joins, a forest for each shard.
+
+    Of two members only their first common shard checks the similarity.
+    """
+    for shard, own, sets, points in _whole_shards(batches, ("shard", "own", "shingles"), 1 << 13):
+        values, band = band_values(points, bands), shard >> bands.shape[1]
+        firsts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True])
+        found = []
+        for start, stop in zip(firsts[:-1], firsts[1:], strict=True):
+            names, label = np.unique(own[start:stop], return_inverse=True)
+            forest, earlier = Forest(len(names)), np.arange(len(bands)) < band[start]
+            for i in range(0, stop - start, ROWS):
+                rows = np.arange(i, min(i + ROWS, stop - start))
+                d = np.bitwise_count(points[start + rows, None, :] ^ points[None, start + i : stop, :]).sum(axis=2, dtype=np.int32)
+                x, y = np.nonzero(d <= far)
+                d, x, y = d[x, y], rows[x], i + y
+                apart = (x < y) & (forest.root[label[x]] != forest.root[label[y]])
+                d, x, y = d[apart], x[apart], y[apart]
+                other = ((values[start + x] == values[start + y]) & earlier).any(axis=1)
+                d, x, y = d[~other], x[~other], y[~other]
+                for k in np.argsort(d, kind="stable").tolist():
+                    la, lb = label[x[k]], label[y[k]]
+                    if forest.root[la] != forest.root[lb] and similar(np.frombuffer(sets[start + x[k]], np.uint64), np.frombuffer(sets[start + y[k]], np.uint64), similarity):
+                        forest.join(np.array([la]), np.array([lb]))
+            a, b = forest.links()
+            found.append((names[a], names[b]))
+        yield pa.record_batch({"a": np.concatenate([a for a, _ in found]), "b": np.concatenate([b for _, b in found])})
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have this Jaccard similarity; those without elements have it."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both)
 
 
 def groups(rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """(row, component) of ``rows`` (row, text without nulls), row being a unique long."""
-    near, far = radii(similarity)
+    near, far, first = radii(similarity)
 
     def fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_chunks(batches, "text"):
@@ -151,45 +186,43 @@ def groups(rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
             fp = [xxhash.xxh64_intdigest(h) - (1 << 63) for h in own]
             yield pa.record_batch({"row": part.column("row"), "fp": fp, "bits": [wide_fingerprint(h).tobytes() for h in own]})
 
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_chunks(batches, "text"):
+            yield pa.record_batch({"fp": part.column("fp"), "shingles": [shingles_of(t, shingle).tobytes() for t in texts]})
+
+    own = cut(rows.select("row", "text").mapInArrow(fingerprinted, "row long, fp long, bits binary"), "wide")
+    names = cut(own.groupBy("fp").agg(F.min("row").alias("name"), F.first("bits").alias("bits")), "wide-classes")
+    bands = bands_of(names.count(), similarity)
+
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, width = bands.shape
         for batch in batches:
-            bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(len(batch), -1)
-            values = np.unpackbits(bits, axis=1, bitorder="little")[:, : BANDS * BAND].reshape(len(batch), BANDS, BAND) @ (1 << np.arange(BAND))
-            shards = values + (np.arange(BANDS) << BAND)
-            at = pa.array(np.repeat(np.arange(len(batch)), BANDS))
+            points = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(len(batch), WORDS)
+            shards = band_values(points, bands) + (np.arange(n) << width)
+            at = pa.array(np.repeat(np.arange(len(batch)), n))
             yield pa.record_batch({"shard": shards.ravel().astype(np.int64), "fp": batch.column("fp").take(at), "bits": batch.column("bits").take(at)})
 
-    own = cut(rows.select("row", "text").mapInArrow(fingerprinted, "row long, fp long, bits binary"), "wide")
-    names = cut(own.groupBy("fp").agg(F.min("row").alias("name"), F.first("bits").alias("bits")), "wide-classes")
     shards = names.select("fp", "bits").mapInArrow(banded, "shard long, fp long, bits binary")
-    links = cut(shards.repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda x: _shard_links(x, near, far), "a long, b long, clear boolean").distinct(), "wide-links")
+    found = cut(shards.repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda x: _clear_links(x, near, far, first), _FOUND), "wide-links")
     plain = names.select("fp", "name")
-    every = links.where("clear").select("a", "b")
-    last = cut(components(every, plain), "wide-groups")
-    left, checks = links.where(~F.col("clear")).select("a", "b"), FIRST_CHECKS
-    while True:
-        of = plain.join(last, "fp", "left").select("fp", F.coalesce("component", "name").alias("component"))
-        joined = left.join(of.select(F.col("fp").alias("a"), F.col("component").alias("ca")), "a").join(of.select(F.col("fp").alias("b"), F.col("component").alias("cb")), "b")
-        place = F.row_number().over(Window.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy("a", "b"))
-        ranked = cut(joined.where("ca <> cb").select("a", "b", place.alias("place")), "wide-doubtful")
-        if ranked.isEmpty():
-            break
-        now = ranked.where(F.col("place") <= checks).select("a", "b")
-        ids = now.join(plain.select(F.col("fp").alias("a"), F.col("name").alias("ra")), "a").join(plain.select(F.col("fp").alias("b"), F.col("name").alias("rb")), "b")
-        with_x = ids.join(rows.select(F.col("row").alias("ra"), F.col("text").alias("x")), "ra")
-        with_y = with_x.join(rows.select(F.col("row").alias("rb"), F.col("text").alias("y")), "rb").select("a", "b", "x", "y")
-        good = cut(with_y.mapInArrow(lambda x: _verified(x, similarity, shingle), "a long, b long"), "wide-checked")
-        if not good.isEmpty():
-            every = every.unionAll(good)
-            last = cut(components(every, plain), "wide-groups")
-        left, checks = ranked.where(F.col("place") > checks).select("a", "b"), checks * GROWTH
-    return own.select("row", "fp").join(plain, "fp").join(last, "fp", "left").select("row", F.coalesce("component", "name").alias("component"))
+    clear = components(found.where(F.col("b").isNotNull()).select("a", "b").distinct(), plain)
+    last = cut(plain.join(clear, "fp", "left").select("fp", F.coalesce("component", "name").alias("own")), "wide-groups")
+    # the members of doubtful pairs, with their component by the clear links
+    told = cut(found.where(F.col("shard").isNotNull()).select("shard", F.col("a").alias("fp"), "bits").join(last, "fp"), "wide-doubtful")
+    several = told.groupBy("shard").agg(F.min("own").alias("least"), F.max("own").alias("most")).where("least <> most").select("shard")
+    left = cut(told.join(several, "shard", "left_semi"), "wide-doubtful")
+    discard(found, told)
+    wanted = left.select("fp").distinct().join(plain, "fp")
+    if wanted.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+        wanted = F.broadcast(wanted)
+    shingles = cut(rows.join(wanted, F.col("row") == F.col("name")).select("fp", "text").mapInArrow(sets, "fp long, shingles binary"), "wide-shingles")
+    members = left.join(shingles, "fp").select("shard", "own", "shingles", "bits").repartition("shard").sortWithinPartitions("shard")
+    good = members.mapInArrow(lambda x: _checked_links(x, far, similarity, bands), "a long, b long")
+    names_left = left.select(F.col("own").alias("fp"), F.col("own").alias("name")).distinct()
+    met = cut(components(good, names_left).select(F.col("fp").alias("own"), "component"), "wide-met")
+    return own.select("row", "fp").join(last, "fp").join(met, "own", "left").select("row", F.coalesce("component", "own").alias("component"))
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each group the row with the smallest id, as it is; of rows with that id one. Null ids come last."""
-    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    found = groups(rows.select(F.col("__row").alias("row"), text_or_empty(text_col).alias("text")), similarity, shingle)
-    first = F.min(F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col("__row").alias("row")))
-    kept = rows.select(id_col, "__row").join(found, F.col("__row") == F.col("row")).groupBy("component").agg(first.alias("x")).select(F.col("x.row").alias("__row"))
-    return rows.join(kept, "__row", "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    return smallest_of_each(docs, lambda rows: groups(rows, similarity, shingle), id_col, text_col)
