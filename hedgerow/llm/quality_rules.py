@@ -11,17 +11,19 @@ told by the number of distinct hashes; in the others, the starts of repeated win
 their words is measured.
 
 Nulls: a null text has no words. Repeated rows are counted and returned each; a null id is kept. An empty table gives an empty
-result. Without words a text fails the base. Extra columns are ignored by ``judge`` and kept by ``keep``.
+result. Without words a text fails the base. Long texts are measured as a whole; ties in the votes are broken by the posterior of 0.5, which keeps. Extra
+columns are ignored by ``judge`` and kept by ``keep``, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hedgerow.llm.common import cut, let, text_or_empty, words_of
+from hedgerow.llm.common import cut, let, text_or_empty, window_hash, words_of
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -84,15 +86,14 @@ def _repeat_words(hashes: Column) -> Column:
     return let(let(placed, starts), union)
 
 
-def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the counts that the rules use, all of them long, in columns that begin with ``q_``."""
-    text = text_or_empty(text_col)
-    rows = docs.withColumn("q_text", text).withColumn("q_words", words_of(F.col("q_text")))
+def measured(docs: DataFrame) -> DataFrame:
+    """``docs`` (text without nulls, and others) with the counts that the rules use, all of them long, in columns that begin with ``q_``."""
+    rows = docs.withColumn("q_text", F.col("text")).withColumn("q_words", words_of(F.col("q_text")))
     hashed = F.transform(F.col("q_words"), lambda w: F.xxhash64(w))
 
     def windows(own: Column) -> Column:
         starts = F.when(F.size(own) >= WINDOW, F.sequence(F.lit(1), F.size(own) - WINDOW + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.xxhash64(F.slice(own, i, WINDOW)))
+        return F.transform(starts, lambda i: window_hash(own, i, WINDOW))
 
     rows = rows.withColumn("q_windows", let(hashed, windows))
     lines = F.filter(F.split(F.col("q_text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -135,12 +136,14 @@ class Estimate:
 
     def posterior(self, votes: list[Column]) -> Column:
         """Probability that a text with these votes is good."""
-        import math
-
-        odds = F.lit(math.log(self.good / (1 - self.good)))
-        for v, (bad, good) in zip(votes, self.given, strict=True):
-            weights = [math.log(g / b) for b, g in zip(bad, good, strict=True)]
-            odds = odds + F.when(v < 0, weights[0]).when(v > 0, weights[2]).otherwise(weights[1])
+        weights = [math.log(self.good / (1 - self.good))]
+        for bad, good in self.given:
+            weights += [math.log(g / b) for b, g in zip(bad, good, strict=True)]
+        # one literal array: the generated code is the same in all rounds
+        table = F.array(*map(F.lit, weights))
+        odds = F.get(table, F.lit(0))
+        for j, v in enumerate(votes):
+            odds = odds + F.get(table, v + (3 * j + 2))
         return 1 / (1 + F.exp(-odds))
 
 
@@ -148,13 +151,13 @@ def estimate(patterns: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int =
     """EM over ``patterns`` (v_<rule> for each rule, and n)."""
     votes = [F.col(f"v_{r.name}") for r in rules]
     now = Estimate(PRIOR_GOOD, [(BAD_FIRST, GOOD_FIRST)] * len(rules))
+    p = F.col("p")
+    sums = [F.sum(p * F.col("n")).alias("good"), F.sum("n").alias("n")]
+    for r, v in zip(rules, votes, strict=True):
+        for k in (-1, 0, 1):
+            sums += [F.sum(F.when(v == k, p * F.col("n")).otherwise(0.0)).alias(f"g_{r.name}_{k}"), F.sum(F.when(v == k, F.col("n")).otherwise(0)).alias(f"n_{r.name}_{k}")]
     for _ in range(rounds):
-        p = now.posterior(votes)
-        sums = [F.sum(p * F.col("n")).alias("good"), F.sum("n").alias("n")]
-        for r, v in zip(rules, votes, strict=True):
-            for k in (-1, 0, 1):
-                sums += [F.sum(F.when(v == k, p * F.col("n")).otherwise(0.0)).alias(f"g_{r.name}_{k}"), F.sum(F.when(v == k, F.col("n")).otherwise(0)).alias(f"n_{r.name}_{k}")]
-        s = patterns.agg(*sums).first()
+        s = patterns.withColumn("p", now.posterior(votes)).agg(*sums).first()
         if not s["n"]:
             return now
         given = []
@@ -170,24 +173,24 @@ def estimate(patterns: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int =
     return now
 
 
-def _judged(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """``keep``, the counts, base_failed, posterior and kept."""
-    rows = measured(docs, text_col).select(*[F.col(f"`{c}`") for c in keep], *[f"q_{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], base_failed().alias("q_base_failed"), *[vote(r).alias(f"v_{r.name}") for r in RULES])
-    rows = cut(rows, "quality-votes")
+def _judged(rows: DataFrame, keep: str) -> DataFrame:
+    """``keep``, the counts, base_failed, posterior and kept, of ``rows`` (text without nulls, ``keep``)."""
+    found = measured(rows).select(keep, *[f"q_{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], base_failed().alias("q_base_failed"), *[vote(r).alias(f"v_{r.name}") for r in RULES])
+    found = cut(found, "quality-votes")
     names = [f"v_{r.name}" for r in RULES]
-    patterns = cut(rows.groupBy(*names).agg(F.count("*").alias("n")), "quality-patterns").coalesce(1)
-    found = estimate(patterns)
-    posterior = found.posterior([F.col(n) for n in names])
-    return rows.withColumn("q_posterior", posterior).withColumn("q_kept", ~F.col("q_base_failed") & (F.col("q_posterior") >= 0.5))
+    patterns = cut(found.groupBy(*names).agg(F.count("*").alias("n")), "quality-patterns").coalesce(1)
+    posterior = estimate(patterns).posterior([F.col(n) for n in names])
+    return found.withColumn("q_posterior", posterior).withColumn("q_kept", ~F.col("q_base_failed") & (F.col("q_posterior") >= 0.5))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the counts, base_failed, the posterior quality and kept for every row of ``docs``."""
-    rows = _judged(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", ["doc_id"])
+    rows = _judged(docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")), "doc_id")
     counts = [F.col(f"q_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return rows.select("doc_id", *counts, F.col("q_base_failed").alias("base_failed"), F.col("q_kept").alias("kept"), F.col("q_posterior").alias("posterior"))
 
 
 def keep(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, as they are."""
-    return _judged(docs, text_col, docs.columns).where("q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that are kept, as they are. They are packed meanwhile, so no name clashes."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), text_or_empty(text_col).alias("text"))
+    return _judged(packed, "doc").where("q_kept").select("doc.*")
