@@ -1,6 +1,6 @@
 """Line de-duplication by site-relative frequency.
 
-A line that more than ``ratio`` of a host's pages contain, and at least ``min_pages`` of them, is boilerplate there and is
+A line that more than ``ratio`` of a host's pages contain, and at least ``min_pages`` of them (three: a page and its one copy are no evidence), is boilerplate there and is
 dropped from the host's pages. A page counts a line once. Lines are compared whole, by a 64-bit hash; lines of whitespace only
 are never boilerplate.
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from hedgerow.llm.common import cut
 
 RATIO = 0.08
-MIN_PAGES = 10
+MIN_PAGES = 3
 MAX_BROADCAST = 100_000
 SALTS = 64
 
