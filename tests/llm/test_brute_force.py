@@ -5,15 +5,17 @@ import hashlib
 import itertools
 import math
 import re
+import unicodedata
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hedgerow.llm import jump_sharding, line_dedup, lm_scoring, pii, quality_rules, simhash_dedup, simhash_similar, tool_calls, toxicity
+from hedgerow.llm import jump_sharding, line_dedup, lm_scoring, pii, quality_rules, simhash_dedup, simhash_similar, tool_calls, toxicity, vantage
 from hedgerow.llm import queries as Q
 from hedgerow.llm import sentencepiece_sampling as S
 
@@ -159,6 +161,78 @@ def test_terms_of_unique_entities(spark):
     assert all(found[i]["n_term"] == 0 for i, _ in rows[2:])
 
 
+@pytest.mark.parametrize("most", [pii.MAX_BROADCAST, 0])
+def test_terms_by_brute_force(spark, monkeypatch, most):
+    """Spans of terms as by the definition, with copies counted once, on both ways of joining."""
+    monkeypatch.setattr(pii, "MAX_BROADCAST", most)
+    rng = np.random.default_rng(31)
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "Nu", "pe") for b in ("ba", "do", "gu", "ra", "sé", "ti")]
+    rows = []
+    for k in range(160):
+        own = list(rng.choice(words, rng.integers(3, 9), p=np.arange(30, 0, -1) / 465))
+        if rng.random() < 0.3:
+            own.insert(int(rng.integers(0, len(own))), f"m{rng.integers(0, 6)}@x.org")
+        rows += [(k, " ".join(own))] * int(rng.choice([1, 1, 1, 3]))
+    texts_ = sorted({t for _, t in rows})
+    n = len(texts_)
+    terms = {t: {w.lower() for w in re.findall(r"[^\W\d_]+", t)} for t in texts_}
+    held = {t: {x for m in re.finditer(r"\S+@\S+", t) for x in ("email", m[0])} for t in texts_}
+    n_term = collections.Counter(w for t in texts_ for w in terms[t])
+    n_entity = collections.Counter(e for t in texts_ for e in held[t])
+    both = collections.Counter((w, e) for t in texts_ for w in terms[t] for e in held[t])
+    told = set()
+    for (w, e), c in both.items():
+        given = (c + pii.SMOOTHING * n_entity[e] / n) / (n_term[w] + pii.SMOOTHING)
+        if n_entity[e] < n and math.log2(given * n / n_entity[e]) >= math.log2(n / n_entity[e]) / pii.ALPHA:
+            told.add(w)
+    assert told
+    for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        text = dict(rows)[r["doc_id"]]
+        inside = [m.span() for m in re.finditer(r"\S+@\S+", text)]
+        want = [f"term:{m.start()}:{m.end()}" for m in re.finditer(r"[^\W\d_]+", text) if m[0].lower() in told and not any(a < m.end() and m.start() < b for a, b in inside)]
+        assert [x for x in r["spans"].split(",") if x.startswith("term")] == want
+
+
+def test_language_model_by_brute_force(spark, texts):
+    """Scores from the weights and counts, token by token in plain Python."""
+    L = lm_scoring
+    own = spark.createDataFrame([(i, i % 5 == 1, t) for i, t in texts.items() if i < 40] + [(900, False, "x" * 90 + " ok " + "X" * 90), (901, False, "")], "doc_id long, held_out boolean, text string")
+    counts = L.count_words(own.where("not held_out")).cache()
+    lexicon = spark.sparkContext.broadcast(L.lexicon_of(counts))
+    lex, weights = lexicon.value, L.train(own.where("not held_out"), lexicon)
+    c = {r["word"] % (1 << 64): r["c"] for r in counts.collect()}
+    slots = dict(zip(lex.hashes.tolist(), lex.slots.tolist(), strict=True))
+    got = {r["doc_id"]: r["score"] for r in L.score(own, counts, lexicon, spark.sparkContext.broadcast(weights)).collect()}
+    assert weights.class_rows.any() and weights.slot_rows.any()
+
+    def softmax(z, at):
+        return z[at] - math.log(sum(math.exp(x) for x in z))
+
+    for r in own.collect():
+        raw = r["text"].encode()
+        hashes, classes, _ = (x.tolist() for x in L.tokens_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])))
+        total = 0.0
+        for i, (h, k) in enumerate(zip(hashes, classes, strict=True)):
+            w = [int(L.mixed(np.array([hashes[i - d]], np.uint64), 1)[0] >> np.uint64(40)) if i >= d else 0 for d in (1, 2)]
+            q = [classes[i - d] if i >= d else 0 for d in (1, 2, 3)]
+            f1 = [w[0] % L.WORD_ROWS, L.WORD_ROWS + w[1] % L.WORD_ROWS, 2 * L.WORD_ROWS + q[0] * L.CLASSES + q[1], 2 * L.WORD_ROWS + L.CLASSES**2 + q[1] * L.CLASSES + q[2]]
+            f2 = [k * L._W1_BUCKETS + w[0] % L._W1_BUCKETS, L.CLASSES * L._W1_BUCKETS + k * L.CLASSES + q[1]]
+            slot = slots.get(h, L.SLOTS - 1)
+            total += softmax([float(lex.prior1[j] + sum(weights.class_rows[f, j] for f in f1)) for j in range(L.CLASSES)], k)
+            total += softmax([float(lex.prior2[k, j] + sum(weights.slot_rows[f, j] for f in f2)) for j in range(L.SLOTS)], slot)
+            if slot == L.SLOTS - 1:
+                total += math.log(c.get(h, 0) + 0.5) - lex.rest_log[k]
+        assert got[r["doc_id"]] == pytest.approx(total / math.log(10), rel=1e-4, abs=1e-3)
+
+
+def test_long_words_are_told_apart():
+    a = b"a"
+    for _ in range(10):  # two words that polynomial hashes modulo a power of two take for one
+        a += bytes(195 - x for x in a)
+    hashes, _, _ = lm_scoring.tokens_of(np.frombuffer(a + b" " + bytes(195 - x for x in a) + b" " + a.upper(), np.uint8), np.array([0, 3 * len(a) + 2]))
+    assert hashes[0] != hashes[1] and hashes[0] == hashes[2]
+
+
 def test_fingerprints_and_components(spark, texts):
     def fingerprint(t):
         w = t.encode().lower().split()
@@ -202,22 +276,24 @@ def test_crowded_shards(spark):
     assert labels(near) == labels([(place[r["a"]], place[r["b"]]) for r in links])
 
 
+def test_components_of_many_links(spark, monkeypatch):
+    """Label propagation and the single task give the same components."""
+    rng = np.random.default_rng(8)
+    links = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2)).tolist()] + [(1000 + i, 1001 + i) for i in range(60)], "a long, b long")
+    names = spark.range(2000).select(F.col("id").alias("fp"), (5000 - F.col("id")).alias("name"))
+    one = {tuple(r) for r in simhash_dedup.components(links, names).collect()}
+    monkeypatch.setattr(simhash_dedup, "ONE_TASK", 0)
+    assert {tuple(r) for r in simhash_dedup.components(links, names).collect()} == one and len({c for _, c in one}) > 5
+
+
 def test_similar_texts(spark, texts):
     """The groups are those of all pairs with an exact similarity of 0.8 or more."""
-    sets = {i: set(simhash_similar.shingles_of(t.encode(), 5).tolist()) for i, t in texts.items()}
-    group = {i: i for i in texts}
-    for a, b in itertools.combinations(sorted(texts), 2):
-        both = len(sets[a] & sets[b])
-        if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
-            low, high = sorted((group[a], group[b]))
-            group = {k: low if v == high else v for k, v in group.items()}
     rows = spark.createDataFrame(list(texts.items()), "row long, text string")
-    assert {r["row"]: r["component"] for r in simhash_similar.groups(rows, 0.8, 5).collect()} == group
+    assert {r["row"]: r["component"] for r in simhash_similar.groups(rows, 0.8, 5).collect()} == _exact_groups(texts)
 
 
-def test_every_doubtful_pair_counts(spark, monkeypatch):
+def test_every_doubtful_pair_counts(spark):
     """Two groups are joined by their only pair of 0.8, whichever pair of them is checked first."""
-    monkeypatch.setattr(simhash_similar, "FIRST_CHECKS", 1)
     rng = np.random.default_rng(3)
     every, alone = {}, simhash_similar.shingles_of
     for g in range(6):
@@ -237,29 +313,97 @@ def test_every_doubtful_pair_counts(spark, monkeypatch):
     assert {r["row"]: r["component"] for r in simhash_similar.groups(rows, 0.8, 5).collect()} == expected
 
 
-def test_shards_give_all_doubtful_pairs():
+def test_shards_check_all_doubtful_pairs():
+    """The links of all shards join what all pairs within the radius that share a band and are similar join."""
     import pyarrow as pa
 
-    points = np.zeros((3, simhash_similar.WORDS), np.uint64)
-    points[1, 0], points[2, 0], points[2, 1] = 1, (1 << 40) - 1, 1  # 0 and 1 are clear; 2 is doubtful with both
-    batch = pa.record_batch({"shard": np.zeros(3, np.int64), "fp": np.arange(3), "bits": [p.tobytes() for p in points]})
-    found = [p for b in simhash_similar._shard_links(iter([batch]), 5, 90) for p in zip(*(b.column(c).to_pylist() for c in ("a", "b", "clear")), strict=True)]
-    assert {(a, b) for a, b, clear in found if not clear} == {(0, 2), (1, 2)}
-
-
-def test_large_shards_lose_no_pair():
-    rng = np.random.default_rng(5)
-    centre = rng.integers(0, 1 << 63, simhash_similar.WORDS, np.uint64)
-    points = centre ^ (np.uint64(1) << rng.integers(0, 64, (300, simhash_similar.WORDS), np.uint64))
-    found = {tuple(sorted(p)) for a, b, _ in simhash_similar.near_pairs(points, np.array([0]), 12) for p in zip(a.tolist(), b.tolist(), strict=True)}
-    assert found == {(i, j) for i, j in itertools.combinations(range(300), 2) if sum(int(x).bit_count() for x in points[i] ^ points[j]) <= 12}
-
-
-def test_vantage_tree_finds_all_pairs():
+    rng = np.random.default_rng(7)
+    points, far = np.bitwise_and.reduce(rng.integers(0, 1 << 63, (3, 90, simhash_similar.WORDS), np.uint64)), 105
+    sets = [np.sort(rng.choice(9, 6, replace=False)).astype(np.uint64) for _ in range(90)]
+    bands = simhash_similar.bands_of(90, 0.8)
+    values = simhash_similar.band_values(points, bands)
+    shards = sorted((int(v) + (k << bands.shape[1]), i) for i in range(90) for k, v in enumerate(values[i]))
+    who = [i for _, i in shards]
+    batch = pa.record_batch({"shard": [s for s, _ in shards], "own": [i // 2 for i in who], "shingles": [sets[i].tobytes() for i in who], "bits": [points[i].tobytes() for i in who]})
+    close = [(i, j) for i, j in itertools.combinations(range(90), 2) if (values[i] == values[j]).any() and sum(int(x).bit_count() for x in points[i] ^ points[j]) <= far]
+    good = np.array([(i // 2, j // 2) for i, j in close if len(set(sets[i].tolist()) & set(sets[j].tolist())) >= 0.8 * len(set(sets[i].tolist()) | set(sets[j].tolist()))])
+    whole, found = vantage.Forest(45), vantage.Forest(45)
+    whole.join(good[:, 0], good[:, 1])
+    for b in simhash_similar._checked_links(iter([batch]), far, 0.8, bands):
+        found.join(b.column("a").to_numpy(), b.column("b").to_numpy())
+    assert (found.root == whole.root).all() and 2 < len(set(whole.root.tolist())) < 45
+
+
+@pytest.mark.parametrize(("words", "radius", "first"), [(1, 4, None), (8, 90, 25)])
+def test_vantage_trees_find_all_pairs(words, radius, first):
     rng = np.random.default_rng(2)
-    points = np.unique(rng.integers(0, 1 << 12, 900, np.uint64))
-    found = {tuple(sorted(p)) for a, b in simhash_dedup.VantageTree(points).pairs(2) for p in zip(a.tolist(), b.tolist(), strict=True)}
-    assert found == {(i, j) for i, j in itertools.combinations(range(len(points)), 2) if int(points[i] ^ points[j]).bit_count() <= 2}
+    centres = rng.integers(0, 1 << 63, (9, words), np.uint64)
+    points = centres[rng.integers(0, 9, 300)] ^ np.bitwise_and.reduce(rng.integers(0, 1 << 63, (4, 300, words), np.uint64))
+    firsts = np.array([0, 1, 3, 40, 150])
+    ends = np.r_[firsts[1:], 300]
+    near = {(i, j) for a, b in zip(firsts, ends, strict=True) for i, j in itertools.combinations(range(a, b), 2) if np.bitwise_count(points[i] ^ points[j]).sum() <= radius}
+    seen = vantage.Pruning()
+    found = [tuple(sorted(p)) for a, b, _ in vantage.near_pairs(points, firsts, radius, None, first, seen) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    assert len(found) == len(set(found)) and set(found) == near and len(near) > 50
+    assert seen.compared < seen.all == sum(n * (n - 1) // 2 for n in ends - firsts)
+    linked, whole = vantage.Forest(300), vantage.Forest(300)
+    for a, b, _ in vantage.near_pairs(points, firsts, radius, linked, first):
+        linked.join(a, b)
+    whole.join(*np.array(sorted(near)).T)
+    assert (linked.root == whole.root).all()
+
+
+def _exact_groups(every):
+    """Smallest id of each group of all pairs with an exact similarity of 0.8 or more."""
+    sets = {i: set(simhash_similar.shingles_of(t.encode(), 5).tolist()) for i, t in every.items()}
+    group = {i: i for i in every}
+    for a, b in itertools.combinations(sorted(every), 2):
+        both = len(sets[a] & sets[b])
+        if both and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+            low, high = sorted((group[a], group[b]))
+            group = {k: low if v == high else v for k, v in group.items()}
+    return group
+
+
+def test_families_near_the_radius(spark):
+    """Families of two clear groups that some pairs of just over 0.8 join: at least nine tenths of the groups are whole."""
+    rng = np.random.default_rng(11)
+    every = {}
+    for g in range(120):
+        words = [f"g{g}w{i}" for i in range(200)]
+        other = list(words)
+        for i in rng.choice(np.arange(0, 196, 6), 4, replace=False):
+            other[i] = f"g{g}o{i}"
+        for k, base in enumerate((words, other)):
+            for m in range(4):
+                own = list(base)
+                if m:
+                    own[rng.integers(0, 200)] = f"g{g}k{k}m{m}"
+                every[100 * g + 10 * k + m] = " ".join(own)
+    expected = collections.defaultdict(dict)
+    for i, text in every.items():
+        expected[i // 100][i] = text
+    expected = {k: v for own in expected.values() for k, v in _exact_groups(own).items()}
+    rows = spark.createDataFrame(list(every.items()), "row long, text string")
+    got = {r["row"]: r["component"] for r in simhash_similar.groups(rows, 0.8, 5).collect()}
+    families = collections.defaultdict(bool)
+    for i in every:
+        families[i // 100] |= got[i] != expected[i]
+    assert sum(families.values()) <= 0.1 * len(families)
+
+
+def test_crowd_of_near_copies(spark):
+    """A crowd whose members are nearly all within the doubtful zone is grouped as by all pairs, with few checks for each member."""
+    rng = np.random.default_rng(12)
+    base, every = [f"w{i}" for i in range(180)], {}
+    for k in range(300):
+        own = list(base)
+        for i in rng.choice(180, rng.integers(1, 9), replace=False):
+            own[i] = f"k{k}x{i}"
+        every[k] = " ".join(own)
+    rows = spark.createDataFrame(list(every.items()), "row long, text string")
+    got, expected = {r["row"]: r["component"] for r in simhash_similar.groups(rows, 0.8, 5).collect()}, _exact_groups(every)
+    assert sum(got[k] != expected[k] for k in every) <= 3
 
 
 def test_jump_hash():
@@ -297,6 +441,28 @@ def test_toxicity(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got.values())
 
 
+def test_ftrl_by_brute_force():
+    """Weights after some steps, coordinate by coordinate in plain Python."""
+    rng, T = np.random.default_rng(6), toxicity
+    rows = [(np.unique(rng.integers(0, 9, 5)).astype(np.int32), int(rng.integers(0, 2))) for _ in range(200)]
+    model, z, n = T.Ftrl(), collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        penalty = 0 if i == "bias" else T.L1
+        return 0.0 if abs(z[i]) <= penalty else -(z[i] - math.copysign(penalty, z[i])) / ((T.BETA + math.sqrt(n[i])) / T.ALPHA + T.L2)
+
+    for codes, label in rows:
+        model.learn(codes, label)
+        own = [*codes.tolist(), "bias"]
+        w = [weight(i) for i in own]
+        g = 1 / (1 + math.exp(-sum(w))) - label
+        for i, x in zip(own, w, strict=True):
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / T.ALPHA * x
+            n[i] += g * g
+    assert model.weights(np.arange(9)) == pytest.approx([weight(i) for i in range(9)], abs=1e-9)
+    assert model.weights(np.array([1 << T.BITS]))[0] == pytest.approx(weight("bias"), abs=1e-9)
+
+
 def test_ftrl_is_sparse():
     rng = np.random.default_rng(4)
     texts = [np.unique(np.r_[rng.integers(0, 5000, 30), 77 if k % 3 == 0 else 78]).astype(np.int32) for k in range(600)]
@@ -356,10 +522,26 @@ def test_round_trip(spark, texts):
 
 def test_samples_do_not_depend_on_partitions(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 20")
-    same = [{(r["doc_id"], r["rank"], tuple(r["pieces"])) for r in S.encode_sampled(d).collect()} for d in (docs, docs.repartition(5))]
+    same = [{(r["doc_id"], r["rank"], tuple(r["pieces"]), r["log_prob"], r["perturbed"], r["inclusion"]) for r in S.encode_sampled(d).collect()} for d in (docs, docs.repartition(5))]
     assert same[0] == same[1]
 
 
+def test_scores_do_not_depend_on_what_came_before(tiny, texts):
+    own, keys = ["ab a", "ba ab aba", "b"], np.arange(3, dtype=np.uint64)
+    used = S.Lattices(tiny)
+    S.sample_chunk(used, [" ".join(p) for p in itertools.product("ab", repeat=6)], np.arange(64, dtype=np.uint64), 2)
+    both = [[[(S.pieces_of(x, s.edges).tolist(), s.log_p, s.value) for s in samples] + [after] for samples, after in S.sample_chunk(x, own, keys, 3)] for x in (S.Lattices(tiny), used)]
+    assert both[0] == both[1]
+
+
+def test_pieces_across_spaces():
+    """With a piece that goes on after a space, no segmentation is missing."""
+    v = S.Vocabulary(["▁", "a", "b", "a▁b", *(f"<0x{b:02X}>" for b in range(256))], np.r_[np.log([0.2, 0.3, 0.2, 0.3]), np.full(256, -6.0)], list(range(4, 260)))
+    lattices = S.Lattices(v)
+    ((samples, _),) = S.sample_chunk(lattices, ["a b"], np.arange(1, dtype=np.uint64), 5)
+    assert sorted(S.pieces_of(lattices, s.edges).tolist() for s in samples) == [[0, 1, 0, 2], [0, 3]]
+
+
 def test_decontamination(spark):
     from hedgerow.llm import decontamination
 
@@ -397,6 +579,94 @@ def test_items_of_values_and_short_items(spark):
     assert got == {1: [7], 2: [8], 3: []}
 
 
+def test_names_begin_sentences(spark):
+    from hedgerow.llm import decontamination
+
+    item = "Natalia sold 48 clips to her friends in April and half as many in May so how many did she sell"
+    rows = [(1, "Yolanda sold 51 clips to her friends in June and half as many in July so how many did she sell"), (2, "Yolanda sold 51 clips to Paul and 3 pens to her")]
+    got = {r["doc_id"]: r["items"] for r in decontamination.judge(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
+    assert got == {1: [7], 2: []}
+
+
+def _contaminated(text, items):
+    """The ids of the items in the text, by the definition, in plain Python."""
+    from hedgerow.llm import decontamination as D
+
+    def canonical(t):
+        t = re.sub(r"(?<=[0-9])(?=[A-Za-z%°])", " ", t or "")
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(c for c in t if c.isalpha() or unicodedata.category(c)[0] == "N" or c in " \t\n\v\f\r")) if w]
+        kinds = []
+        for i, w in enumerate(words):
+            title = len(w) > 1 and unicodedata.category(w[0]) == "Lu" and all(unicodedata.category(c) == "Ll" for c in w[1:])
+            unit = i > 0 and kinds[i - 1] == "#" and w.lower() in D.UNITS
+            kinds.append("#" if re.fullmatch("[0-9]+", w) else "%" if unit else "@" if title else w.lower())
+        return kinds, [w.lower() for w in words]
+
+    def windows(t, size):
+        kinds, values = t
+        for i in range(len(kinds) - size + 1):
+            k, v = kinds[i : i + size], values[i : i + size]
+            typed = [x in "#%@" for x in k]
+            if size < D.MIN_TOKENS or sum(typed) > D.MAX_SLOTS:
+                yield i, ("literal", *v), {}
+            else:
+                yield i, tuple(k), {j: x for j, (x, y) in enumerate(zip(v, typed, strict=True)) if y}
+
+    doc, found = canonical(text), set()
+    for item, raw in items.items():
+        own = canonical(raw)
+        n = len(own[0])
+        size = min(n, D.WINDOW)
+        mine = list(windows(own, size)) if n else []
+        first = {}
+        for i, h, s in mine:
+            first[h] = min(first.get(h, ((), 0)) or (), ("\x01".join(s.get(j, "") for j in range(size)) if s else "", i)) if h in first else ("\x01".join(s.get(j, "") for j in range(size)) if s else "", i)
+        occurrences = collections.defaultdict(list)
+        for at, h, s in windows(doc, size) if n else ():
+            for i, h2, s2 in mine:
+                if h == h2:
+                    occurrences["aligned", at - i].append((h, s2, s))
+                    if first[h] == ("\x01".join(s2.get(j, "") for j in range(size)) if s2 else "", i):
+                        for o in (("text",), ("near", (at + 1) // n), ("near", (at + 1) // n - 1)):
+                            occurrences[o].append((h, s2, s))
+        total = len({h for _, h, _ in mine})
+        for hits in occurrences.values():
+            ways = collections.defaultdict(set)
+            for _, a, b in hits:
+                for j in a:
+                    ways[a[j]].add(b[j])
+            consistent = sum(len(w) == 1 for w in ways.values()) / len(ways) if ways else 1
+            if len({h for h, _, _ in hits}) >= D.SHARE * total and consistent >= D.CONSISTENT:
+                found.add(item)
+    return found
+
+
+def test_decontamination_by_brute_force(spark):
+    """Texts mixed of items, changed items and other words: every verdict is that of the definition."""
+    from hedgerow.llm import decontamination
+
+    rng = np.random.default_rng(21)
+    names, nouns = ["Anna", "Bo", "Carl", "Dora", "Élan", "Über"], ["apples", "boxes", "clips", "days", "the", "of", "a", "gave", "sold"]
+
+    def sentence(n):
+        return [str(rng.choice([rng.choice(names), str(rng.integers(1, 9)), f"{rng.integers(1, 9)}kg", rng.choice(nouns), "km"], p=[0.15, 0.15, 0.05, 0.6, 0.05])) for _ in range(n)]
+
+    items = {k: " ".join(sentence(rng.integers(1, 26))) + "." for k in range(40)}
+    rows = []
+    for k in range(150):
+        parts = []
+        for _ in range(rng.integers(1, 4)):
+            words = items[int(rng.integers(0, 40))].split()
+            for i, w in enumerate(words):
+                if rng.random() < 0.1:
+                    words[i] = str(rng.choice(names)) if w in names else str(rng.integers(1, 9)) if w.isdigit() else w
+            parts += sentence(rng.integers(0, 12)) + words
+        rows.append((k, " ".join(parts)))
+    got = decontamination.judge(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
+    expected = {k: _contaminated(t, items) for k, t in rows}
+    assert {r["doc_id"]: set(r["items"]) for r in got} == expected and 30 < sum(map(bool, expected.values()))
+
+
 def test_benchmark_items_are_found(spark, texts):
     items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
     holding = {i for i, t in texts.items() for b in items.values() if b.lower() in t.lower()}
@@ -408,7 +678,9 @@ def test_lines(spark):
     rows = [(i, "hot", f"menu\nown line {i}\n\nfooter") for i in range(40)] + [(100 + i, "cold", f"menu\nline {i}") for i in range(5)]
     got = {r["doc_id"]: r for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
     assert got[3]["text"] == "own line 3\n" and got[3]["__n_dropped"] == 2
-    assert got[101]["text"] == "menu\nline 1"
+    assert got[101]["text"] == "line 1"
+    few = line_dedup.drop_boilerplate(spark.createDataFrame([(i, "s", f"same\n{i // 2}") for i in range(4)], "doc_id long, source string, text string")).collect()
+    assert {r["text"] for r in few} == {"0", "1"}  # a page and its copy keep their own line
 
 
 def test_pipeline(spark, texts):

@@ -19,13 +19,13 @@ from hedgerow.llm import (
 
 LONG = "lorem ipsum dolor " * 20_000
 TEXTS = [None, "", " \n\t ", "one", "a b c d e f g h", "é ▁ ▁ {{ \0 x", LONG, "mail a@b.c or +1 (555) 123-4567", "|", "the of and to in\nthe of and to in"]
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, n string, fp string, score string, word string, h string, at string, kept string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, n string, fp string, score string, word string, h string, at string, kept string, q_text string, q_words string, v_letters string, `__key` string, `__row` string, doc string, `row` string, marks string, `new` string"
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(i, t, None, "s" if i % 2 else None, None, *"xxxxxxxx") for i, t in enumerate(TEXTS)]
-    rows += [(None, "null id here", None, "s", None, *"xxxxxxxx"), rows[4], rows[4], (4, "another text with the same id", None, "s", None, *"xxxxxxxx")]
+    rows = [(i, t, None, "s" if i % 2 else None, None, *"xxxxxxxxxxxxxxxxx") for i, t in enumerate(TEXTS)]
+    rows += [(None, "null id here", None, "s", None, *"xxxxxxxxxxxxxxxxx"), rows[4], rows[4], (4, "another text with the same id", None, "s", None, *"xxxxxxxxxxxxxxxxx")]
     return spark.createDataFrame(rows, SCHEMA)
 
 
