@@ -82,6 +82,8 @@ class Balancer:
         self.open.pop()
 
     def take(self, event: Event) -> None:
+        if event.kind != "text":  # processors may give names in any case
+            event = event._replace(name=T.element_name(event.name))
         if event.kind == "text":
             if _BLANK.match(event.text):
                 if self.open and (self.open[-1] not in T.HOLDS_TEXT or T.implied(self.open[-1], "a")):

@@ -183,11 +183,13 @@ DEFAULT_SCHEMA = Schema.of(DEFAULT_NAMES)
 
 _ESCAPE = r"\\(?:[0-9a-fA-F]{1,6}(?:\r\n|[ \t\r\n\f])?|[^\n\r\f0-9a-fA-F])"
 _IDENT = rf"-?(?:[A-Za-z_\u0080-\U0010ffff]|{_ESCAPE})(?:[A-Za-z0-9_\u0080-\U0010ffff-]|{_ESCAPE})*"
+#: A unit that may stand apart from its number.
+_KNOWN = rf"(?i:{'|'.join(sorted(UNITS))})(?![A-Za-z0-9_\\(\u0080-\U0010ffff-])"
 _TOKENS = re.compile(
     rf"""(?P<SPACE>(?:[\s\x00-\x20\ufeff]|/\*.*?(?:\*/|\Z)|//[^\n\r\f]*|<!--|-->)+)
     |(?P<URI>[uU][rR][lL]\(\s*(?:"(?:[^"\\\n\r\f]|\\.)*"|'(?:[^'\\\n\r\f]|\\.)*'|(?:[^\s"'()\\]|{_ESCAPE})*)\s*\))
     |(?P<STRING>"(?:[^"\\\n\r\f]|\\.)*"|'(?:[^'\\\n\r\f]|\\.)*')
-    |(?P<NUMBER>[+-]?(?:[0-9]+(?:\.[0-9]+)?|\.[0-9]+)(?:[eE][+-]?[0-9]+(?![A-Za-z]))?)(?P<UNIT>%|{_IDENT})?
+    |(?P<NUMBER>[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+(?![A-Za-z]))?)(?P<UNIT>%|{_IDENT}|[ \t\n\r\f]+{_KNOWN})?
     |(?P<FUNCTION>{_IDENT}\()
     |(?P<IDENT>{_IDENT})
     |(?P<HASHED>\#(?:[A-Za-z0-9_\u0080-\U0010ffff-]|{_ESCAPE})+)
@@ -217,14 +219,20 @@ def unescape(s: str) -> str:
     return re.sub(r"\\(?:[0-9a-fA-F]{1,6}(?:\r\n|[ \t\r\n\f])?|.|\Z)", one, s, flags=re.S)
 
 
+def _normal(number: str) -> str:
+    """Without a plus sign, zeros before the whole part and zeros after the fraction."""
+    sign, whole, fraction, power = re.fullmatch(r"([+-]?)([0-9]*)\.?([0-9]*)((?:[eE].*)?)", number).groups()
+    fraction = fraction.rstrip("0")
+    return sign.replace("+", "") + (whole.lstrip("0") or "0") + ("." + fraction if fraction else "") + power.lower()
+
+
 def css_tokens(css: str) -> list[CssToken]:
     """Tokens in normal form: names unescaped and in lower case, strings and URLs by their content."""
     out = []
     for m in _TOKENS.finditer(css):
         kind, text = m.lastgroup, m[0]
         if kind in ("NUMBER", "UNIT"):
-            number, unit = m["NUMBER"], ascii_lower(m["UNIT"] or "")
-            number = re.sub(r"^([+-]?)\.", r"\g<1>0.", number).removeprefix("+").lower()
+            number, unit = _normal(m["NUMBER"]), ascii_lower(m["UNIT"] or "").lstrip()
             out.append(CssToken("QUANTITY" if not unit or unit == "%" or unit in UNITS else "BAD", number + unit))
         elif kind == "STRING":
             out.append(CssToken(kind, unescape(text[1:-1])))
@@ -327,7 +335,7 @@ def _value(tokens: list[CssToken], rule: Property | None, schema: Schema, rewrit
             if text in rule.literals:
                 flush()
                 out.append(text)
-            elif text == "important" and at >= 2 and tokens[at - 2] == ("MARK", "!"):
+            elif text == "important" and [t for t in tokens[max(at - 3, 0) : at - 1] if t.kind != "SPACE"][-1:] == [("MARK", "!")]:
                 flush()
                 out.append("!important")
             elif rule.bits & STRING and rule.bits & WORD and re.fullmatch("[a-z0-9-]+", text):

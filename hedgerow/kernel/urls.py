@@ -89,4 +89,6 @@ def srcset(value: str, url_policy: Callable[[str], str | None]) -> str | None:
             return " , ".join(out) or None
         if value[at] != ",":
             return None
-        at += 1
+        at = skip(at + 1)
+        if at >= n:  # a comma may end the list
+            return " , ".join(out) or None

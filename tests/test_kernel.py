@@ -182,3 +182,22 @@ def test_random_events_are_balanced():
             elif e.kind == "close":
                 assert stack.pop() == e.name
         assert not stack
+
+
+@pytest.mark.parametrize(
+    ("style", "expected"),
+    [("width: 007.250 EM", "width:7.25em"), ("padding: 3 mm 0", "padding:3mm 0"), ("height:+0.90%", "height:0.9%"), ("color:blue !  Important", "color:blue !important"), ("width:5. px", "width:5px")],
+)
+def test_quantities_have_a_normal_form(style, expected):
+    assert css.sanitize_css(style) == expected
+
+
+def test_a_comma_may_end_a_source_set():
+    assert urls.srcset("one.png 2x, two.png ,", lambda u: u) == "one.png 2x , two.png"
+    assert urls.srcset("three.png , ", lambda u: u) == "three.png"
+    assert urls.srcset(",", lambda u: u) is None
+
+
+def test_balancer_knows_names_in_capitals():
+    out = list(balanced([Event("open", "H2"), Event("text", text="x"), Event("close", "H2")]))
+    assert [(e.kind, e.name) for e in out] == [("open", "h2"), ("text", ""), ("close", "h2")]
