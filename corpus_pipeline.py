@@ -40,9 +40,9 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled segmentations of every document: doc_id, rank, the number and a hash of the pieces, and the scores."""
+    """Sampled segmentations of every document: doc_id, rank, the pieces' ids, their number and hash, and the scores."""
     found = sentencepiece_sampling.encode_sampled(docs)
-    return found.select("doc_id", "rank", F.size("pieces").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"), "log_prob", "inclusion", "round_trip")
+    return found.select("doc_id", "rank", "pieces", F.size("pieces").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"), "log_prob", "inclusion", "round_trip")
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("SimHash near-dedup", near_duplicates), ("benchmark decontamination", benchmark), ("SentencePiece encoding", encode)]
