@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hedgerow import cases
 from hedgerow.functions import native as N
 from hedgerow.kernel import codec, css, urls
+from hedgerow.kernel import processors as P
 from hedgerow.kernel.policy import PolicyBuilder
 from hedgerow.operators import html as H
 from hedgerow.plans import relational as R
@@ -141,6 +143,88 @@ def discard_top(spark, sf_dir):
     return _discards(spark, sf_dir).groupBy("element").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "element").limit(5)
 
 
+@query(f"select element, page_id % 4 as part, count(*) as n from ({_DROPPED}) group by grouping sets ((element), (part), ())")
+def discard_grouping_sets(spark, sf_dir):
+    found = _discards(spark, sf_dir).withColumn("part", F.col("page_id") % 4)
+    return found.groupingSets([("element",), ("part",), ()], "element", "part").agg(F.count("*").alias("n"))
+
+
+@query(f"select element, count(distinct page_id) as n_pages, true as near from ({_DROPPED}) group by element")
+def discard_approx_pages(spark, sf_dir):
+    """Pages by discarded element, and whether the approximate count (2 % deviation) is within a tenth."""
+    approx = F.approx_count_distinct("page_id", 0.02)
+    counts = _discards(spark, sf_dir).groupBy("element").agg(F.countDistinct("page_id").alias("n_pages"), approx.alias("approx"))
+    return counts.select("element", "n_pages", (F.abs(F.col("approx") - F.col("n_pages")) <= F.col("n_pages") * 0.1 + 1).alias("near"))
+
+
+def _opened(rows: DataFrame) -> DataFrame:
+    return H.events(rows, "html", balance=False).where("kind = 'open'").select("page_id", "seq", F.col("name").alias("element"))
+
+
+def _before_and_after(spark, sf_dir):
+    rows = pages(spark, sf_dir).select("page_id", "html")
+    return _opened(rows).drop("seq"), _opened(rows.withColumn("html", H.sanitize("html", PLAIN))).drop("seq")
+
+
+@query(f"select page_id, element from ({_DROPPED})")
+def tags_lost(spark, sf_dir):
+    """The tags of the source that sanitising leaves out, as often as it does."""
+    before, after = _before_and_after(spark, sf_dir)
+    return before.exceptAll(after)
+
+
+@query(f"select page_id, element from ({_DROPPED.replace('not in', 'in')})")
+def tags_kept(spark, sf_dir):
+    """The tags of the source that are still there after sanitising."""
+    before, after = _before_and_after(spark, sf_dir)
+    return before.intersectAll(after)
+
+
+@query(f"""with t as (select page_id, unnest(l) as element, unnest(range(len(l))) as pos from (select page_id, regexp_extract_all({_BARE}, '<([a-z][a-z0-9]*)', 1) as l from pages)),
+c as (select *, case when lag(element) over (partition by page_id order by pos) = element then 0 else 1 end as begins from t),
+r as (select page_id, element, sum(begins) over (partition by page_id order by pos) as run from c)
+select page_id, run::bigint as run, element, count(*) as n from r group by page_id, run, element""")
+def element_runs(spark, sf_dir):
+    """Adjacent tags of the same element as one run."""
+    found = _opened(pages(spark, sf_dir).select("page_id", "html")).where(~F.col("element").isin("script", "style", "title"))
+    return R.runs(found, "element", "page_id")
+
+
+@query("select page_id, href from (select page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) as href from pages) where regexp_full_match(href, '/[a-m][a-z]*')")
+def matched_links(spark, sf_dir):
+    """Links whose target matches a pattern; the sections are allowed, then not."""
+    policy = PolicyBuilder().allow_elements("a", "nav").disallow_elements("nav").allow_attributes("href").matching("/[a-m][a-z]*").on_elements("a").build()
+    clean = pages(spark, sf_dir).select("page_id", H.sanitize("html", policy).alias("html"))
+    return H.links(clean, "html").select("page_id", "href")
+
+
+_TITLE = "upper(replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&'))"
+
+
+@query(f"select page_id, {_TITLE} as title from pages")
+def processed_titles(spark, sf_dir):
+    """Titles in capitals, by a preprocessor that leaves titles only, and another one."""
+    policy = PolicyBuilder().allow_elements("title").allow_text_in("title").with_preprocessor(P.only_inside("title")).with_preprocessor(P.shouted).build()
+    clean = pages(spark, sf_dir).select("page_id", H.sanitize("html", policy).alias("html"))
+    return H.events(clean, "html").where("kind = 'text' and parent = 'title'").select("page_id", F.col("text").alias("title"))
+
+
+@query("select page_id, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) as host from pages")
+def link_hosts(spark, sf_dir):
+    """The host that a postprocessor tells behind a link to each page."""
+    policy = PolicyBuilder().allow_elements("a").allow_attributes("href").on_elements("a").allow_standard_protocols().with_postprocessor(P.hosts_told).build()
+    link = pages(spark, sf_dir).select("page_id", F.concat(F.lit('<a href="'), F.col("url"), F.lit('">x</a>')).alias("html"))
+    return link.select("page_id", F.regexp_extract(H.sanitize("html", policy), "</a> - (.*)", 1).alias("host"))
+
+
+@query(f"select page_id, len(regexp_extract_all({_BARE}, '<(p)[ >]', 1))::bigint as n from pages")
+def kept_counts(spark, sf_dir):
+    """The paragraphs that a policy lets through, counted by a receiver in the renderer's place."""
+    paragraphs = PolicyBuilder().allow_elements("p").build()
+    count = lambda events: sum(e.kind == "open" for e in events)
+    return pages(spark, sf_dir).select("page_id", H.receive("html", paragraphs, count, "bigint", pa.int64()).alias("n"))
+
+
 @query(f"select page_id, element, n, rank() over (partition by page_id order by n desc, element) as place from (select page_id, element, count(*) as n from ({_DROPPED}) group by all) qualify place <= 2")
 def discard_rank(spark, sf_dir):
     """Each page's two most discarded elements."""

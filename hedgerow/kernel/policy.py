@@ -175,19 +175,33 @@ class Policy:
     def apply(self, events: Iterable[Event], discards: list[Discard] | None = None) -> Iterator[Event]:
         return _Application(self, discards).run(events)
 
-    def process(self, html: str | None, limit: int = NESTING_LIMIT) -> Result:
+    def events(self, html: str | None, discards: list[Discard] | None = None, limit: int = NESTING_LIMIT) -> Iterable[Event]:
+        """What the policy lets through; ``discards`` gets what it doesn't, as the events are read."""
         events: Iterable[Event] = events_of(html or "")
         for p in self.pre:
             events = p(events)
-        discards: list[Discard] = []
         events = self.apply(balanced(events, limit), discards)
         for p in self.post:
             events = p(events)
-        out, errors = render(events)
+        return events
+
+    def process(self, html: str | None, limit: int = NESTING_LIMIT, strict: bool = False) -> Result:
+        """The result for a document; if ``strict``, the renderer's first error is raised."""
+        discards: list[Discard] = []
+        out, errors = render(self.events(html, discards, limit))
+        if strict and errors:
+            raise ValueError(errors[0])
         return Result(out, discards, errors)
 
-    def sanitize(self, html: str | None) -> str:
-        return self.process(html).html
+    def audit(self, html: str | None, limit: int = NESTING_LIMIT) -> list[Discard]:
+        """The discards, without rendering."""
+        discards: list[Discard] = []
+        for _ in self.events(html, discards, limit):
+            pass
+        return discards
+
+    def sanitize(self, html: str | None, limit: int = NESTING_LIMIT, strict: bool = False) -> str:
+        return self.process(html, limit, strict).html
 
 
 class _Application:

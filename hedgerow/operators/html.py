@@ -6,14 +6,14 @@ the document are kept, so that filters and pruning on them reach the scan.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hedgerow.kernel.balance import balanced
-from hedgerow.kernel.lex import events_of, tokens_of
+from hedgerow.kernel.balance import NESTING_LIMIT, balanced
+from hedgerow.kernel.lex import Event, events_of, tokens_of
 from hedgerow.kernel.policy import Policy
 from hedgerow.kernel.render import render
 
@@ -43,9 +43,14 @@ def text_function(column: Column | str, one: Callable[[str], str | None]) -> Col
     return _mapped(column, "string", one, pa.string())
 
 
-def sanitize(column: Column | str, policy: Policy) -> Column:
-    """The safe HTML of a column."""
-    return _mapped(column, "string", policy.sanitize, pa.string())
+def sanitize(column: Column | str, policy: Policy, limit: int = NESTING_LIMIT, strict: bool = False) -> Column:
+    """The safe HTML of a column; what is nested deeper than ``limit`` is dropped. If ``strict``, an error of the renderer fails the query."""
+    return _mapped(column, "string", lambda html: policy.sanitize(html, limit, strict), pa.string())
+
+
+def receive(column: Column | str, policy: Policy, receiver: Callable[[Iterable[Event]], object], kind: str, arrow_type: pa.DataType) -> Column:
+    """What ``receiver`` makes of the events that the policy lets through, as a sink of one's own in the renderer's place."""
+    return _mapped(column, kind, lambda html: receiver(policy.events(html)), arrow_type)
 
 
 def sanitize_plain(df: DataFrame, column: str, policy: Policy) -> DataFrame:
@@ -69,8 +74,12 @@ def process(column: Column | str, policy: Policy) -> Column:
 def audit(df: DataFrame, column: str, policy: Policy) -> DataFrame:
     """A row for each discard: the other columns of ``df``, seq, kind, element, attributes."""
     rest = [c for c in df.columns if c != column]
-    found = df.select(*rest, process(column, policy).alias("__result"))
-    return found.select(*rest, F.posexplode("__result.discards").alias("seq", "__d")).select(*rest, "seq", "__d.kind", "__d.element", "__d.attributes")
+
+    def one(html: str) -> list:
+        return [{"kind": d.kind, "element": d.element, "attributes": list(d.attributes)} for d in policy.audit(html)]
+
+    found = df.select(*rest, _mapped(column, DISCARDS, one, pa.list_(_DISCARD)).alias("__discards"))
+    return found.select(*rest, F.posexplode("__discards").alias("seq", "__d")).select(*rest, "seq", "__d.kind", "__d.element", "__d.attributes")
 
 
 def tokens(df: DataFrame, column: str) -> DataFrame:
@@ -116,14 +125,18 @@ def attributes(df: DataFrame, column: str) -> DataFrame:
 
 
 def links(df: DataFrame, column: str) -> DataFrame:
-    """A row for each link's target."""
-    return attributes(df, column).where((F.col("element") == "a") & (F.col("name") == "href")).drop("element", "name", "pos").withColumnRenamed("value", "href")
+    """A row for each link's target: the other columns, seq (of the source's events), href."""
+    rest = [c for c in df.columns if c != column]
+
+    def one(html: str) -> list:
+        return [{"seq": i, "href": v} for i, e in enumerate(events_of(html)) if e.kind == "open" and e.name == "a" for k, v in e.attrs if k == "href"]
+
+    found = _mapped(column, "array<struct<seq:int,href:string>>", one, pa.list_(pa.struct([("seq", pa.int32()), ("href", pa.string())])))
+    return df.select(*rest, F.explode(found).alias("__l")).select(*rest, "__l.seq", "__l.href")
 
 
 def rendered(df: DataFrame, events_col: str) -> DataFrame:
     """``df`` with ``html``: what a column of events (kind, name, attrs, text) renders to after balancing."""
-    from hedgerow.kernel.lex import Event
-
     @F.arrow_udf("string")
     def own(column: pa.Array) -> pa.Array:
         made = [[Event(e["kind"], e["name"] or "", tuple((a["name"], a["value"]) for a in e["attrs"] or []), e["text"] or "") for e in row or []] for row in column.to_pylist()]

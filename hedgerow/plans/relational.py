@@ -73,6 +73,13 @@ def depths(events: DataFrame, *key: str) -> DataFrame:
     return events.withColumn("level", F.sum(step).over(Window.partitionBy(*key).orderBy("seq")))
 
 
+def runs(rows: DataFrame, value: str, *key: str) -> DataFrame:
+    """(key, run, value, n) of adjacent rows, by ``seq``, with the same value: gaps and islands."""
+    w = Window.partitionBy(*key).orderBy("seq")
+    begins = rows.withColumn("begins", (~F.lag(value).over(w).eqNullSafe(F.col(value)) | (F.row_number().over(w) == 1)).cast("long"))
+    return begins.withColumn("run", F.sum("begins").over(w)).groupBy(*key, "run", value).agg(F.count("*").alias("n"))
+
+
 def reassembled(pieces: DataFrame, key: str) -> DataFrame:
     """(key, html) from (key, seq, piece)."""
     ordered = F.array_sort(F.collect_list(F.struct("seq", "piece")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, html) of every file."""
+    """(path, html) of every file; Spark's sources leave out files of no bytes."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"))
 
 

@@ -1,4 +1,6 @@
 import math
+import os
+from datetime import datetime
 
 import duckdb
 import pytest
@@ -6,6 +8,7 @@ import pytest
 from hedgerow import catalog
 from hedgerow.kernel.policy import FORMATTING
 from hedgerow.operators import html
+from hedgerow.sources import files
 from hedgerow.streaming import trends
 
 DATA = "/root/testdata/sf0.001"
@@ -58,3 +61,33 @@ def test_stream_is_as_batch(spark, tmp_path):
     q.awaitTermination(120)
     batch = {tuple(r) for r in source.withColumn("html", html.sanitize("html", FORMATTING)).collect()}
     assert {tuple(r) for r in spark.table("cleaned").collect()} == batch
+
+
+def test_late_rows_are_not_counted(spark, tmp_path):
+    schema = "ts timestamp, html string"
+    for k, times in enumerate((["10:05"], ["12:30"], ["12:40"], ["10:10"], ["15:00"])):
+        rows = [(datetime.fromisoformat(f"2024-05-01 {t}:00"), "<script>x</script>") for t in times]
+        path = str(tmp_path / "in")
+        files.write_pages(spark.createDataFrame(rows, schema).coalesce(1), path, "append")
+        for f in set(os.listdir(path)) - (known if k else set()):
+            os.utime(f"{path}/{f}", (1_700_000_000 + 10 * k,) * 2)
+        known = set(os.listdir(path))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    found = trends.violation_trends(stream, "ts", "html", FORMATTING)
+    q = found.writeStream.format("memory").queryName("late").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.awaitTermination(120)
+    assert sorted((r["window_start"].hour, r["element"], r["n"]) for r in spark.table("late").collect()) == [(10, "script", 1), (12, "script", 2)]
+    batch = trends.violation_trends(spark.read.parquet(path), "ts", "html", FORMATTING)
+    assert sorted((r["window_start"].hour, r["n"]) for r in batch.collect()) == [(10, 2), (12, 2), (15, 1)]
+
+
+def test_files_and_tables(spark, tmp_path):
+    for name, text in (("a.html", "<b>one\ntwo"), ("b.html", "two"), ("c.html", "")):
+        (tmp_path / name).write_text(text)
+    found = files.read_files(spark, str(tmp_path))
+    assert {r["path"].rsplit("/", 1)[1]: r["html"] for r in found.collect()} == {"a.html": "<b>one\ntwo", "b.html": "two"}
+    clean = found.select(html.sanitize("html", FORMATTING).alias("html"))
+    files.write_pages(clean, str(tmp_path / "out"))
+    assert {r["html"] for r in files.read_pages(spark, str(tmp_path / "out")).collect()} == {"<b>one\ntwo</b>", "two"}
+    stream = files.stream_pages(spark, str(tmp_path / "out"), clean.schema)
+    assert stream.isStreaming and stream.columns == ["html"]
