@@ -198,7 +198,7 @@ def matched_links(spark, sf_dir):
     return H.links(clean, "html").select("page_id", "href")
 
 
-_TITLE = "upper(replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&'))"
+_TITLE = "translate(replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&'), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
 
 
 @query(f"select page_id, {_TITLE} as title from pages")

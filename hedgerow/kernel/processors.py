@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterable, Iterator
 
 from hedgerow.kernel import tables as T
 from hedgerow.kernel.lex import Event
 
 _TARGET = {"a": "href", "img": "src"}
+_CAPITALS = str.maketrans(string.ascii_lowercase, string.ascii_uppercase)
 _HOST = re.compile(r"\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:\s]+)")
 
 
@@ -47,6 +49,6 @@ def only_inside(element: str):
 
 
 def shouted(events: Iterable[Event]) -> Iterator[Event]:
-    """Text in capitals."""
+    """Text with ASCII letters in capitals."""
     for e in events:
-        yield e._replace(text=e.text.upper()) if e.kind == "text" else e
+        yield e._replace(text=e.text.translate(_CAPITALS)) if e.kind == "text" else e
