@@ -43,10 +43,11 @@ LITERAL = "\ud800"
 K = 2
 ALPHA = 1.0
 GROUP = 48
-CACHE_UNITS = 150_000
+#: Units whose lattices a worker keeps. Samples depend neither on this nor on CHUNK_CHARS, the characters sampled at a time; the worker's memory does.
+CACHE_UNITS = 40_000
 #: Characters of a unit that is told by another hash.
 LONG_UNIT = 64
-CHUNK_CHARS = 1 << 19
+CHUNK_CHARS = 1 << 18
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 

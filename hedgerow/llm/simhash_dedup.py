@@ -38,6 +38,8 @@ LEAF = 2048
 SEED = 42
 #: Links that one task joins; more are joined by label propagation.
 ONE_TASK = 1_000_000
+#: Blocks of 64 row numbers that are broadcast as bits; more kept rows are joined by a shuffle.
+MAX_BLOCKS = 500_000
 
 _LANES = (1 << np.arange(64, dtype=np.uint64)).astype(np.uint64)
 
@@ -208,11 +210,21 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
 
 def smallest_of_each(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame], id_col: str, text_col: str) -> DataFrame:
-    """Of each group the row with the smallest id; ``grouped`` gives (row, component) of (row, text). A row's columns are kept apart, so no name clashes."""
+    """Of each group the row with the smallest id; ``grouped`` gives (row, component) of (row, text). A row's columns are kept apart, so no name clashes.
+
+    The kept rows are told by a bit each, 64 numbers to a block, so that texts aren't shuffled.
+    """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row"))
     rows = cut(packed, "numbered")  # a row's number stands once it is written
     found = grouped(rows.select("row", text_or_empty("doc", text_col).alias("text")))
     own = rows.select("row", F.col("doc").getField(id_col).alias("id")).join(found, "row")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     kept = own.groupBy("component").agg(first.alias("x")).select("x.row")
-    return rows.join(kept, "row", "left_semi").select("doc.*")
+    block, bit = F.shiftright("row", 6), F.col("row").bitwiseAND(63).cast("int")
+    bits = cut(kept.groupBy(block.alias("block")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits")), "kept")
+    if bits.limit(MAX_BLOCKS + 1).count() > MAX_BLOCKS:
+        every = F.explode(F.sequence(F.lit(0), F.lit(63)))
+        kept = bits.select("block", "bits", every.alias("bit")).where("getbit(bits, bit) = 1").select((F.col("block") * 64 + F.col("bit")).alias("row"))
+        return rows.join(kept, "row", "left_semi").select("doc.*")
+    found = rows.withColumn("block", block).join(F.broadcast(bits), "block")
+    return found.where(F.getbit("bits", bit) == 1).select("doc.*")

@@ -7,9 +7,11 @@ shingle sets, and so their Jaccard similarity, to a few hundredths.
 2. Classes are dealt into shards by bands: shards are balls of radius 0 around a band's value, and a class goes to all that it touches. A band has
    MIN_BAND bits, more for many classes, so that shards stay small; there are as many bands as let a pair of the given similarity
    share one with a probability of RECALL.
-3. In every shard a vantage-point tree (``vantage``) finds the pairs that differ by ``far`` bits at most, DEVIATIONS standard deviations
-   more than a pair of the given similarity has on average. Pairs of DEVIATIONS fewer are clear: they are linked, by a spanning forest
-   for each shard. The members of the other, doubtful pairs are told, if the shard's clear links don't join them.
+3. As each class goes to many shards, they get the first HEAD words of its fingerprint only. In every shard a vantage-point tree (``vantage``) finds the pairs
+   that differ there by HEAD_DEVIATIONS standard deviations at most more than a pair of the given similarity has on average. Pairs of as many fewer are
+   clear: they are linked, by a spanning forest for each shard. The members of the other pairs are told, if the shard's clear links don't join them; they go to
+   their shards again with all WORDS, and the same is done: pairs that differ by up to ``far`` bits (DEVIATIONS more than the average) are looked at, clear ones linked,
+   and the members of doubtful ones told.
 4. For doubtful pairs between the components of the clear links the exact similarity decides. The members of doubtful pairs go to their shards again, with
    their shingles. A pair belongs to the first shard that both share, and is checked there unless the links found so far in the shard join its members, so
    that a group of n near copies needs about n checks in a shard, not n * n; only links leave a shard. No pair is left out.
@@ -41,6 +43,9 @@ MIN_BAND = 14
 CROWD = 10
 RECALL = 0.99
 DEVIATIONS = 3
+#: Words that shards get first, and the deviations that decide there. Random pairs are five of their own farther.
+HEAD = 2
+HEAD_DEVIATIONS = 4
 ROWS = 64
 MAX_BROADCAST = 1_000_000
 
@@ -73,12 +78,12 @@ def _share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def radii(similarity: float) -> tuple[int, int, int]:
-    """Differing bits up to which a pair is clearly similar, beyond which it clearly is not, and the latter for the first word alone."""
-    share = _share(similarity)
-    deviation = math.sqrt(BITS * share * (1 - share))
+def radii(similarity: float, words: int = WORDS, deviations: int = DEVIATIONS) -> tuple[int, int, int]:
+    """Differing bits of so many words up to which a pair is clearly similar, beyond which it clearly is not, and the latter for the first word alone."""
+    share, bits = _share(similarity), 64 * words
+    deviation = math.sqrt(bits * share * (1 - share))
     first = 64 * share + 5 * math.sqrt(64 * share * (1 - share))
-    return max(0, int(BITS * share - DEVIATIONS * deviation)), int(BITS * share + DEVIATIONS * deviation), int(first)
+    return max(0, int(bits * share - deviations * deviation)), int(bits * share + deviations * deviation), int(first)
 
 
 def bands_of(classes: int, similarity: float) -> np.ndarray:
@@ -97,13 +102,13 @@ def band_values(points: np.ndarray, bands: np.ndarray) -> np.ndarray:
     return bits[:, bands.ravel()].reshape(len(points), n, width) @ (1 << np.arange(width))
 
 
-def _whole_shards(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], size: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """The columns of about ``size`` rows at a time, and the bits as n x WORDS; a shard is never in two parts. The batches are sorted by shard."""
+def _whole_shards(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], size: int, words: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns of about ``size`` rows at a time, and the bits as n x words; a shard is never in two parts. The batches are sorted by shard."""
     held: list[tuple[np.ndarray, ...]] = []
     n = 0
     for batch in batches:
         own = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in columns)
-        held.append((*own, np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, WORDS)))
+        held.append((*own, np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, words)))
         n += len(batch)
         if n >= size:
             every = tuple(np.concatenate(v) for v in zip(*held, strict=True))
@@ -115,12 +120,12 @@ def _whole_shards(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], s
         yield tuple(np.concatenate(v) for v in zip(*held, strict=True))
 
 
-_FOUND = "a long, b long, shard long, bits binary"
+_FOUND = "a long, b long, shard long"
 
 
-def _clear_links(batches: Iterator[pa.RecordBatch], near: int, far: int, first: int) -> Iterator[pa.RecordBatch]:
-    """(a, b) of a spanning forest of each shard's clear links, and (a, shard, bits) of the members of doubtful pairs between its components."""
-    for shard, fp, points in _whole_shards(batches, ("shard", "fp"), 1 << 15):
+def _clear_links(batches: Iterator[pa.RecordBatch], near: int, far: int, first: int, words: int) -> Iterator[pa.RecordBatch]:
+    """(a, b) of a spanning forest of each shard's clear links, and (a, shard) of the members of doubtful pairs between its components."""
+    for shard, fp, points in _whole_shards(batches, ("shard", "fp"), 1 << 15, words):
         forest, told = Forest(len(fp)), np.zeros(len(fp), bool)
         firsts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
         for a, b, d in near_pairs(points, firsts, far, forest, first):
@@ -129,13 +134,8 @@ def _clear_links(batches: Iterator[pa.RecordBatch], near: int, far: int, first:
             told[a[apart]] = told[b[apart]] = True
         a, b = forest.links()
         who = np.flatnonzero(told)
-        nothing = pa.nulls(len(a), pa.int64())
-        yield pa.record_batch({"a": fp[a], "b": fp[b], "shard": nothing, "bits": pa.nulls(len(a), pa.binary())}, schema=_schema())
-        yield pa.record_batch({"a": fp[who], "b": pa.nulls(len(who), pa.int64()), "shard": shard[who], "bits": [x.tobytes() for x in points[who]]}, schema=_schema())
-
-
-def _schema() -> pa.Schema:
-    return pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shard", pa.int64()), ("bits", pa.binary())])
+        yield pa.record_batch({"a": fp[a], "b": fp[b], "shard": pa.nulls(len(a), pa.int64())})
+        yield pa.record_batch({"a": fp[who], "b": pa.nulls(len(who), pa.int64()), "shard": shard[who]})
 
 
 def _checked_links(batches: Iterator[pa.RecordBatch], far: int, similarity: float, bands: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -143,7 +143,7 @@ def _checked_links(batches: Iterator[pa.RecordBatch], far: int, similarity: floa
 
     Of two members only their first common shard checks the similarity.
     """
-    for shard, own, sets, points in _whole_shards(batches, ("shard", "own", "shingles"), 1 << 13):
+    for shard, own, sets, points in _whole_shards(batches, ("shard", "own", "shingles"), 1 << 13, WORDS):
         values, band = band_values(points, bands), shard >> bands.shape[1]
         firsts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True])
         found = []
@@ -179,6 +179,7 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 def groups(rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """(row, component) of ``rows`` (row, text without nulls), row being a unique long."""
     near, far, first = radii(similarity)
+    head_near, head_far, _ = radii(similarity, HEAD, HEAD_DEVIATIONS)
 
     def fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_chunks(batches, "text"):
@@ -188,7 +189,8 @@ def groups(rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_chunks(batches, "text"):
-            yield pa.record_batch({"fp": part.column("fp"), "shingles": [shingles_of(t, shingle).tobytes() for t in texts]})
+            own = [shingles_of(t, shingle) for t in texts]
+            yield pa.record_batch({"fp": part.column("fp"), "shingles": [h.tobytes() for h in own], "bits": [wide_fingerprint(h).tobytes() for h in own]})
 
     own = cut(rows.select("row", "text").mapInArrow(fingerprinted, "row long, fp long, bits binary"), "wide")
     names = cut(own.groupBy("fp").agg(F.min("row").alias("name"), F.first("bits").alias("bits")), "wide-classes")
@@ -200,22 +202,25 @@ def groups(rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
             points = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(len(batch), WORDS)
             shards = band_values(points, bands) + (np.arange(n) << width)
             at = pa.array(np.repeat(np.arange(len(batch)), n))
-            yield pa.record_batch({"shard": shards.ravel().astype(np.int64), "fp": batch.column("fp").take(at), "bits": batch.column("bits").take(at)})
+            heads = pa.array([x.tobytes() for x in points[:, :HEAD]], pa.binary())
+            yield pa.record_batch({"shard": shards.ravel().astype(np.int64), "fp": batch.column("fp").take(at), "bits": heads.take(at)})
 
     shards = names.select("fp", "bits").mapInArrow(banded, "shard long, fp long, bits binary")
-    found = cut(shards.repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda x: _clear_links(x, near, far, first), _FOUND), "wide-links")
+    heads = cut(shards.repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda x: _clear_links(x, head_near, head_far, first, HEAD), _FOUND), "wide-heads")
+    again = heads.where(F.col("shard").isNotNull()).select("shard", F.col("a").alias("fp")).join(names.select("fp", "bits"), "fp").select("shard", "fp", "bits")
+    found = cut(again.repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda x: _clear_links(x, near, far, first, WORDS), _FOUND), "wide-links")
     plain = names.select("fp", "name")
-    clear = components(found.where(F.col("b").isNotNull()).select("a", "b").distinct(), plain)
+    clear = components(heads.unionAll(found).where(F.col("b").isNotNull()).select("a", "b").distinct(), plain)
     last = cut(plain.join(clear, "fp", "left").select("fp", F.coalesce("component", "name").alias("own")), "wide-groups")
     # the members of doubtful pairs, with their component by the clear links
-    told = cut(found.where(F.col("shard").isNotNull()).select("shard", F.col("a").alias("fp"), "bits").join(last, "fp"), "wide-doubtful")
+    told = cut(found.where(F.col("shard").isNotNull()).select("shard", F.col("a").alias("fp")).join(last, "fp"), "wide-doubtful")
     several = told.groupBy("shard").agg(F.min("own").alias("least"), F.max("own").alias("most")).where("least <> most").select("shard")
     left = cut(told.join(several, "shard", "left_semi"), "wide-doubtful")
-    discard(found, told)
+    discard(heads, found, told)
     wanted = left.select("fp").distinct().join(plain, "fp")
     if wanted.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
         wanted = F.broadcast(wanted)
-    shingles = cut(rows.join(wanted, F.col("row") == F.col("name")).select("fp", "text").mapInArrow(sets, "fp long, shingles binary"), "wide-shingles")
+    shingles = cut(rows.join(wanted, F.col("row") == F.col("name")).select("fp", "text").mapInArrow(sets, "fp long, shingles binary, bits binary"), "wide-shingles")
     members = left.join(shingles, "fp").select("shard", "own", "shingles", "bits").repartition("shard").sortWithinPartitions("shard")
     good = members.mapInArrow(lambda x: _checked_links(x, far, similarity, bands), "a long, b long")
     names_left = left.select(F.col("own").alias("fp"), F.col("own").alias("name")).distinct()

@@ -10,12 +10,13 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hedgerow.llm import jump_sharding, line_dedup, lm_scoring, pii, quality_rules, simhash_dedup, simhash_similar, tool_calls, toxicity, vantage
+from hedgerow.llm import common, jump_sharding, line_dedup, lm_scoring, pii, quality_rules, simhash_dedup, simhash_similar, tool_calls, toxicity, vantage
 from hedgerow.llm import queries as Q
 from hedgerow.llm import sentencepiece_sampling as S
 
@@ -392,6 +393,76 @@ def test_families_near_the_radius(spark):
     assert sum(families.values()) <= 0.1 * len(families)
 
 
+def _shuffle_files(spark):
+    """Path and size of the shuffle files that there are now."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    every = [files.apply(i) for i in range(files.size())]
+    return {f.getPath(): f.length() for f in every if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
+
+
+def test_kept_rows_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """keep_one returns the rows by bits for their numbers, not by a shuffle of texts; beyond MAX_BLOCKS the rows are the same."""
+    rng = np.random.default_rng(14)
+    docs = spark.createDataFrame([(k // 2 if k < 20 else k, rng.bytes(3000).hex()) for k in range(300)], "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(simhash_dedup, "cut", lambda df, name: df.localCheckpoint())
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = docs.localCheckpoint()
+        grouped = lambda r: r.select("row", (F.col("row") % 64).alias("component"))
+        before = _shuffle_files(spark)
+        found = sorted(simhash_dedup.smallest_of_each(rows, grouped, "doc_id", "text").collect())
+        moved = sum(n for f, n in _shuffle_files(spark).items() if f not in before)
+        assert 64 <= len(found) <= 192 and moved < 300 * 3000 / 4
+        monkeypatch.setattr(simhash_dedup, "MAX_BLOCKS", 0)
+        assert sorted(simhash_dedup.smallest_of_each(rows, grouped, "doc_id", "text").collect()) == found
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    import time
+
+    before = set(_shuffle_files(spark))
+    written = common.cut(spark.range(5000).groupBy((F.col("id") % 50).alias("x")).agg(F.count("*").alias("n")), "grouped")
+    assert {r["n"] for r in written.collect()} == {100} and spark.conf.get(common.CLEANUP) == "false"
+    for _ in range(10):
+        if set(_shuffle_files(spark)) <= before:
+            return
+        time.sleep(0.1)
+    raise AssertionError("shuffle files are left")
+
+
+def test_shards_get_short_fingerprints():
+    """Shards are searched by the first HEAD words: clear pairs are linked, members of the others told."""
+    rng = np.random.default_rng(4)
+    points = rng.integers(0, 1 << 63, (40, simhash_similar.HEAD), np.uint64)
+    points[1] = points[0] ^ np.uint64(1 << 9)
+    points[3] = points[2] ^ np.bitwise_and.reduce(rng.integers(0, 1 << 63, (3, simhash_similar.HEAD), np.uint64))
+    near, far, first = simhash_similar.radii(0.8, simhash_similar.HEAD, simhash_similar.HEAD_DEVIATIONS)
+    batch = pa.record_batch({"shard": np.zeros(40, np.int64), "fp": np.arange(40), "bits": [x.tobytes() for x in points]})
+    found = pa.Table.from_batches(simhash_similar._clear_links(iter([batch]), near, far, first, simhash_similar.HEAD)).to_pylist()
+    assert near < np.bitwise_count(points[2] ^ points[3]).sum() <= far
+    assert [(r["a"], r["b"]) for r in found if r["shard"] is None] == [(1, 0)] and [r["a"] for r in found if r["shard"] is not None] == [2, 3]
+
+
+def test_encoding_needs_little_memory():
+    """A worker's memory has a bound that doesn't grow with the texts: fresh words in each."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"{a:x}" for a in rng.integers(0, 1 << 40, 200).tolist()) for _ in range(800)]
+    batch = pa.record_batch({"text": texts, "key": np.arange(800)})
+    lattices, seen = S.Lattices(S.Vocabulary.load()), []
+    tracemalloc.start()
+    for part in S._chunks(batch):
+        found = S.sample_chunk(lattices, part.column("text").to_pylist(), part.column("key").to_numpy().view(np.uint64), 2)
+        seen += [s.log_p for samples, _ in found for s in samples]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(seen) == 1600 and peak < 160 << 20, peak >> 20
+
+
 def test_crowd_of_near_copies(spark):
     """A crowd whose members are nearly all within the doubtful zone is grouped as by all pairs, with few checks for each member."""
     rng = np.random.default_rng(12)
