@@ -1,12 +1,13 @@
 """Sanitising, auditing and taking apart the documents of a column, one Arrow-batched function for each.
 
 A document is a row's own work: nothing is shuffled. Null documents are empty ones, and the result is never null. Columns beside
-the document are kept, so that filters and pruning on them reach the scan.
+the document are kept, so that filters and pruning on them reach the scan. A worker takes a batch in pieces, so that what it holds
+as Python objects has a bound, whatever the number of rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,21 +20,41 @@ from hedgerow.kernel.render import render
 
 DISCARDS = "array<struct<kind:string,element:string,attributes:array<string>>>"
 RESULT = f"struct<html:string,discards:{DISCARDS},errors:array<string>>"
-TOKENS = "array<struct<kind:string,start:int,end:int,text:string>>"
+TOKENS = "array<struct<pos:int,kind:string,start:int,end:int,text:string>>"
 EVENTS = "array<struct<kind:string,name:string,attrs:array<struct<name:string,value:string>>,text:string,depth:int,parent:string>>"
 
 #: Where rendering can change a document at all.
 _CHANGES = "[<&{\"'+=>@`\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\u093a-\\x{10ffff}]"
 
 
-def _mapped(column: Column | str, kind: str, one: Callable[[str], object], arrow_type: pa.DataType) -> Column:
+#: Bytes of a column that are taken apart at a time; a row is never cut.
+PIECE = 1 << 18
+
+
+def _pieces(column: pa.Array) -> Iterator[pa.Array]:
+    """The column in runs of rows of up to ``PIECE`` bytes, or of one row."""
+    if len(column) > 1 and column.nbytes > PIECE:
+        half = len(column) // 2
+        yield from _pieces(column.slice(0, half))
+        yield from _pieces(column.slice(half))
+    else:
+        yield column
+
+
+def _by_piece(column: Column | str, kind: str, one: Callable[[object], object], arrow_type: pa.DataType) -> Column:
+    """``one`` of every value. Spark's batches have up to 10,000 rows and 64 MB; only a piece of one, and of its result, is there as objects."""
+
     @F.arrow_udf(kind)
-    def own(html: pa.Array) -> pa.Array:
-        return pa.array([one(x or "") for x in html.to_pylist()], arrow_type)
+    def own(batch: pa.Array) -> pa.Array:
+        return pa.concat_arrays(pa.array([one(x) for x in piece.to_pylist()], arrow_type) for piece in _pieces(batch))
 
     return own(column)
 
 
+def _mapped(column: Column | str, kind: str, one: Callable[[str], object], arrow_type: pa.DataType) -> Column:
+    return _by_piece(column, kind, lambda x: one(x or ""), arrow_type)
+
+
 _ATTR = pa.struct([("name", pa.string()), ("value", pa.string())])
 _DISCARD = pa.struct([("kind", pa.string()), ("element", pa.string()), ("attributes", pa.list_(pa.string()))])
 
@@ -82,15 +103,15 @@ def audit(df: DataFrame, column: str, policy: Policy) -> DataFrame:
     return found.select(*rest, F.posexplode("__discards").alias("seq", "__d")).select(*rest, "seq", "__d.kind", "__d.element", "__d.attributes")
 
 
-def tokens(df: DataFrame, column: str) -> DataFrame:
-    """A row for each token: the other columns, pos, kind, start, end (code points, end exclusive), text."""
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())]))
+def tokens(df: DataFrame, column: str, *kinds: str) -> DataFrame:
+    """A row for each token, or for those of these kinds: the other columns, pos, kind, start, end (code points, end exclusive), text."""
+    kind = pa.list_(pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())]))
 
     def one(html: str) -> list:
-        return [{"kind": t.kind, "start": t.start, "end": t.end, "text": html[t.start : t.end]} for t in tokens_of(html)]
+        return [{"pos": i, "kind": t.kind, "start": t.start, "end": t.end, "text": html[t.start : t.end]} for i, t in enumerate(tokens_of(html)) if not kinds or t.kind in kinds]
 
     rest = [c for c in df.columns if c != column]
-    return df.select(*rest, F.posexplode(_mapped(column, TOKENS, one, kind)).alias("pos", "__t")).select(*rest, "pos", "__t.kind", "__t.start", "__t.end", "__t.text")
+    return df.select(*rest, F.explode(_mapped(column, TOKENS, one, kind)).alias("__t")).select(*rest, "__t.pos", "__t.kind", "__t.start", "__t.end", "__t.text")
 
 
 def _placed(html: str, balance: bool) -> list[dict]:
@@ -117,11 +138,28 @@ def events(df: DataFrame, column: str, balance: bool = True) -> DataFrame:
     return found.select(*rest, "seq", *[f"__e.{c}" for c in ("kind", "name", "attrs", "text", "depth", "parent")])
 
 
-def attributes(df: DataFrame, column: str) -> DataFrame:
-    """A row for each attribute of the source's tags: the other columns, seq, element, pos, name, value."""
+def opened(df: DataFrame, column: str, policy: Policy | None = None) -> DataFrame:
+    """A row for each element that the source opens, or that what a policy makes of it does: the other columns, seq (of the events), element."""
     rest = [c for c in df.columns if c != column]
-    found = events(df, column, balance=False).where(F.col("kind") == "open")
-    return found.select(*rest, "seq", F.col("name").alias("element"), F.posexplode("attrs").alias("pos", "__a")).select(*rest, "seq", "element", "pos", "__a.name", "__a.value")
+
+    def one(html: str) -> list:
+        return [{"seq": i, "element": e.name} for i, e in enumerate(events_of(policy.sanitize(html) if policy else html)) if e.kind == "open"]
+
+    found = _mapped(column, "array<struct<seq:int,element:string>>", one, pa.list_(pa.struct([("seq", pa.int32()), ("element", pa.string())])))
+    return df.select(*rest, F.explode(found).alias("__o")).select(*rest, "__o.seq", "__o.element")
+
+
+def attributes(df: DataFrame, column: str, *elements: str) -> DataFrame:
+    """A row for each attribute of the source's tags, or of these elements': the other columns, seq, element, pos, name, value."""
+    rest = [c for c in df.columns if c != column]
+    fields = ("seq", pa.int32()), ("element", pa.string()), ("pos", pa.int32()), ("name", pa.string()), ("value", pa.string())
+
+    def one(html: str) -> list:
+        tags = ((i, e) for i, e in enumerate(events_of(html)) if e.kind == "open" and (not elements or e.name in elements))
+        return [{"seq": i, "element": e.name, "pos": pos, "name": k, "value": v} for i, e in tags for pos, (k, v) in enumerate(e.attrs)]
+
+    found = _mapped(column, "array<struct<seq:int,element:string,pos:int,name:string,value:string>>", one, pa.list_(pa.struct(fields)))
+    return df.select(*rest, F.explode(found).alias("__a")).select(*rest, *[f"__a.{c}" for c, _ in fields])
 
 
 def links(df: DataFrame, column: str) -> DataFrame:
@@ -137,9 +175,9 @@ def links(df: DataFrame, column: str) -> DataFrame:
 
 def rendered(df: DataFrame, events_col: str) -> DataFrame:
     """``df`` with ``html``: what a column of events (kind, name, attrs, text) renders to after balancing."""
-    @F.arrow_udf("string")
-    def own(column: pa.Array) -> pa.Array:
-        made = [[Event(e["kind"], e["name"] or "", tuple((a["name"], a["value"]) for a in e["attrs"] or []), e["text"] or "") for e in row or []] for row in column.to_pylist()]
-        return pa.array([render(balanced(row))[0] for row in made], pa.string())
 
-    return df.withColumn("html", own(events_col))
+    def one(row: list[dict] | None) -> str:
+        made = [Event(e["kind"], e["name"] or "", tuple((a["name"], a["value"]) for a in e["attrs"] or []), e["text"] or "") for e in row or []]
+        return render(balanced(made))[0]
+
+    return df.withColumn("html", _by_piece(events_col, "string", one, pa.string()))
