@@ -99,8 +99,9 @@ def audit(df: DataFrame, column: str, policy: Policy) -> DataFrame:
     def one(html: str) -> list:
         return [{"kind": d.kind, "element": d.element, "attributes": list(d.attributes)} for d in policy.audit(html)]
 
-    found = df.select(*rest, _mapped(column, DISCARDS, one, pa.list_(_DISCARD)).alias("__discards"))
-    return found.select(*rest, F.posexplode("__discards").alias("seq", "__d")).select(*rest, "seq", "__d.kind", "__d.element", "__d.attributes")
+    # exploded where it is made: of a column of its own Spark infers a filter, and audits twice
+    found = df.select(*rest, F.posexplode(_mapped(column, DISCARDS, one, pa.list_(_DISCARD))).alias("seq", "__d"))
+    return found.select(*rest, "seq", "__d.kind", "__d.element", "__d.attributes")
 
 
 def tokens(df: DataFrame, column: str, *kinds: str) -> DataFrame:

@@ -47,3 +47,11 @@ def test_filters_in_the_kernel_are_those_of_all_rows(spark):
     assert same(H.attributes(rows, "html"), attributes)
     assert same(H.attributes(rows, "html", "a"), attributes.where("element = 'a'"))
     assert same(H.tokens(rows, "html", "COMMENT", "DIRECTIVE"), H.tokens(rows, "html").where("kind in ('COMMENT', 'DIRECTIVE')"))
+
+
+def test_pages_are_audited_once(spark):
+    from hedgerow import catalog
+
+    for name in ("discard_counts", "discard_rollup", "discard_approx_pages", "tag_histogram"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1, name
